@@ -68,7 +68,7 @@ def telling(rows: list[np.ndarray], positive: np.ndarray, n_features: int) -> np
         n[y][np.unique(r)] += 1
     share = [(x + 0.5) / (max(1, (positive == y).sum()) + 1) for y, x in enumerate(n)]
     bound = np.log(share[1] / share[0]) - 2 * np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-    return np.flatnonzero(bound > np.log(2))
+    return np.flatnonzero(bound > np.log(4))
 
 
 def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
