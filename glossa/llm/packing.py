@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,39 +26,77 @@ from glossa.llm._common import checkpoint
 LENGTH = 2048
 #: Pieces per group; a group leaves at most a few bins unfilled.
 GROUP = 12_000
-#: Words whose ids a task remembers.
-CACHE = 200_000
+#: Letters that NFC and lower-casing treat one by one, then ASCII punctuation but no apostrophe.
+PLAIN_WORD = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 #: Weights of the residual tokens, documents and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 1e-3, 1e-3)
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of the runs [start, start + size), one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordIds:
-    """Token ids of many texts: the tokenizer never looks across white space, so each different word is encoded once."""
+    """Token ids of many texts.
+
+    The tokenizer never looks across white space, so each different word is encoded once. A word of Latin-1 letters with
+    ASCII punctuation after it, as most are, is two pre-tokens; those of letters are normalised here and
+    encoded many at a time, their last ids marked by the vocabulary's word end. All else goes through the tokenizer whole.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _letters(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = [" ".join(unique[i : i + 200]) for i in range(0, len(unique), 200)]
+        ids = [np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(joined, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(unique):  # a vocabulary without word ends
+            return self._whole(unique)
+        return flat, np.diff(ends, prepend=0)
+
+    def _whole(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.whole.encode_batch(unique, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n + 1 offsets."""
         index, offsets, unique = words(texts, lower=False)
-        vocabulary = unique.to_pylist()
-        new = [w for w in vocabulary if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, vocabulary
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        lists = [self.known[w] for w in vocabulary]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        per_word = sizes[index]
-        ends = np.cumsum(per_word)
-        where = np.repeat(starts[index] - (ends - per_word), per_word) + np.arange(int(per_word.sum()))
-        return flat[where], np.concatenate([[0], ends])[offsets]
+        match = pc.extract_regex(pc.utf8_normalize(unique, form="NFC"), PLAIN_WORD)
+        plain = match.is_valid().to_numpy(zero_copy_only=False)
+        core, tail = (match.filter(match.is_valid()).field(i).dictionary_encode() for i in (0, 1))
+        low = pc.utf8_lower(core.dictionary).dictionary_encode()
+        units = [self._letters(low.dictionary.to_pylist()), self._whole(tail.dictionary.to_pylist()), self._whole(unique.filter(pa.array(~plain)).to_pylist())]
+        flat = np.concatenate([u[0] for u in units])
+        size = np.concatenate([u[1] for u in units])
+        start = np.cumsum(size) - size
+        base = np.cumsum([0, *(len(u[1]) for u in units)])
+        # each different word is two units; of a word that is not plain the second is empty
+        pair = np.empty((len(unique), 2), np.int64)
+        pair[plain, 0] = low.indices.to_numpy()[core.indices.to_numpy()]
+        pair[plain, 1] = base[1] + tail.indices.to_numpy()
+        pair[~plain, 0] = base[2] + np.arange(int((~plain).sum()))
+        pair[~plain, 1] = len(size)
+        size, start = np.append(size, 0), np.append(start, 0)
+        of_words = flat[_spans(start[pair.ravel()], size[pair.ravel()])]
+        size = size[pair].sum(1)
+        start = np.cumsum(size) - size
+        ends = np.concatenate([[0], np.cumsum(size[index])])
+        return of_words[_spans(start[index], size[index])], ends[offsets]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,7 +104,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, doc_i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, serial = WordIds(tokenizer_path), 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=6 << 20):
             ids, offsets = ids_of(filled(batch.column("text")))
             n = len(offsets) - 1
             sizes = np.diff(offsets) + 1
