@@ -73,3 +73,15 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"),
     )
+
+
+def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows with one doc_id and text, one."""
+    decided = checkpoint(exact_dedup(docs, doc_id, text).select("doc_id", "text_sha256", "kept"))
+    kept = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    rows = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    left = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi")
+    repeats = decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():
+        left = left.dropDuplicates([doc_id, "__key"])
+    return left.drop("__key")

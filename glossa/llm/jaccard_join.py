@@ -323,3 +323,18 @@ def jaccard_join(
         F.coalesce("size", F.lit(1).cast("long")).alias("class_size"),
         F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """One document of each component of ``jaccard_join``, that with the smallest doc_id, with all its columns.
+
+    Rows of one doc_id stay or go together, and of those that stay one stays; rows without a doc_id stay.
+    """
+    decided = checkpoint(jaccard_join(docs, doc_id, text, **options).select("doc_id", "component_id"))
+    gone = decided.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    repeats = decided.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():
+        named = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+        left = named.unionByName(left.filter(F.col(doc_id).isNull()))
+    return left

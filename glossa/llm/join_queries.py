@@ -1,18 +1,25 @@
-"""Query of the Jaccard join, with its SQL."""
+"""Queries of the operators that exchange hashes of words: the Jaccard join, with its SQL, and the language model."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm._common import table
+from pyspark.sql import functions as F
+
+from glossa.llm._common import crc_bucket, table
 from glossa.llm.jaccard_join import jaccard_join
+from glossa.llm.lm_scoring import lm_scores
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), crc_bucket(F.col("doc_id"), 5) == 1)
+
+
+QUERIES = {"op7_lm_scoring": op7_lm_scoring, "op10_jaccard_join": op10_jaccard_join}
 
 ORACLE_SQL = {
     "op10_jaccard_join": r"""

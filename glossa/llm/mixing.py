@@ -127,6 +127,17 @@ def mix(
     )
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all their columns, as often as ``mix`` takes them."""
+    plan = mix(docs, doc_id, text, source, **options).filter("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies").distinct()
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__rows") == F.col("__size"))
+    taken = docs.withColumn("__rows", size).join(plan.withColumnRenamed("copies", "__copies"), same)
+    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return taken.select(*[taken[f"`{c}`"] for c in docs.columns])
+
+
 #: A side of one row per source is broadcast up to this many rows, which a count has checked; beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
 
