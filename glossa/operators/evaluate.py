@@ -142,9 +142,9 @@ def endpoint_audit(detected: DataFrame, paired: DataFrame, accepted: DataFrame)
 
 def endpoint_ceiling(gold: DataFrame, detected: DataFrame) -> DataFrame:
     """both, one, none, strict_ceiling, endpoint_share, any_share of gold pairs by detected endpoints."""
-    ends = {lab: detected.filter(F.col("label") == lab).select("doc_id", F.col("s").alias(a), F.col("e").alias(b)).distinct().withColumn(lab, F.lit(1)) for lab, a, b in (("SF", "ss", "se"), ("LF", "ls", "le"))}
+    ends = {lab: detected.filter(F.col("label") == lab).select("doc_id", F.col("s").alias(a), F.col("e").alias(b)).distinct().withColumn(f"has_{lab}", F.lit(1)) for lab, a, b in (("SF", "ss", "se"), ("LF", "ls", "le"))}
     m = gold.join(ends["SF"], ["doc_id", "ss", "se"], "left").join(ends["LF"], ["doc_id", "ls", "le"], "left")
-    n = F.coalesce("SF", F.lit(0)) + F.coalesce("LF", F.lit(0))
+    n = F.coalesce("has_SF", F.lit(0)) + F.coalesce("has_LF", F.lit(0))
     c = m.select(n.alias("n")).agg(*[F.count(F.when(F.col("n") == k, 1)).alias(a) for k, a in ((2, "both"), (1, "one"), (0, "none"))])
     total = F.col("both") + F.col("one") + F.col("none")
     return c.select("both", "one", "none", rounded(F.col("both"), total).alias("strict_ceiling"), rounded(2 * F.col("both") + F.col("one"), 2 * total).alias("endpoint_share"), rounded(F.col("both") + F.col("one"), total).alias("any_share"))

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_extract", "q_features")
+MODULES = ("q_extract", "q_features", "q_evaluate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
