@@ -26,7 +26,7 @@ from glossa.llm._common import checkpoint
 LENGTH = 2048
 #: Pieces per group; a group leaves at most a few bins unfilled.
 GROUP = 12_000
-#: Letters that NFC and lower-casing treat one by one, then ASCII punctuation but no apostrophe.
+#: Letters that are as NFC has them and have simple lower-case forms, then ASCII punctuation but no apostrophe.
 PLAIN_WORD = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 #: Weights of the residual tokens, documents and attention cost, each as a share of its capacity.
 WEIGHTS = (1.0, 1e-3, 1e-3)
@@ -76,7 +76,7 @@ class WordIds:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and n + 1 offsets."""
         index, offsets, unique = words(texts, lower=False)
-        match = pc.extract_regex(pc.utf8_normalize(unique, form="NFC"), PLAIN_WORD)
+        match = pc.extract_regex(unique, PLAIN_WORD)
         plain = match.is_valid().to_numpy(zero_copy_only=False)
         core, tail = (match.filter(match.is_valid()).field(i).dictionary_encode() for i in (0, 1))
         low = pc.utf8_lower(core.dictionary).dictionary_encode()
