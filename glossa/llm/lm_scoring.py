@@ -15,7 +15,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ from glossa.llm._common import checkpoint, shuffle_partitions
 FINE, ZERO = 8, -4096
 BUCKETS = 64
 ROUNDS = 60
+#: Text bytes per batch: the larger, the fewer repeats of a pair are sent.
+SLICE = 9 << 20
 END, START = np.uint64(0x8F0A6B1C5D3E2F47), np.uint64(0x1D2C3B4A59687786)
 
 
@@ -42,12 +43,12 @@ def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rank[token], n + 1, h[order]
 
 
-def _pairs(token: np.ndarray, per_doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different (word before, word) pairs, ascending, and the number of each token's pair."""
+def _pairs(token: np.ndarray, per_doc: np.ndarray, h: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different (word before, word) pairs, ascending, and the number of each token's pair; ``blank`` low bits are 0."""
     before = np.empty(len(token), np.uint64)
     before[1:] = h[token[:-1]]
     before[np.cumsum(per_doc) - per_doc] = START
-    g = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h[token])
+    g = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h[token]) >> np.uint64(blank) << np.uint64(blank)
     return np.unique(g, return_inverse=True)
 
 
@@ -63,43 +64,49 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _sent(n_parts: int):
+def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Number and parts of each batch; two scans of the same rows number them alike, and ``_assembled`` checks that they did."""
+    for serial, batch in enumerate(slices(batches, most=SLICE)):
+        yield (batch.column("part")[0].as_py() << 32) + serial, batch, batch.column("held_out").to_numpy(zero_copy_only=False), *_numbered(batch)
+
+
+def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per batch: its documents, its words' hashes and its tokens."""
+    for number, batch, held, token, per_doc, h in _batches(batches):
+        ids = batch.column("doc_id").cast(pa.int64())
+        about = [ids.is_valid().to_numpy(zero_copy_only=False).astype("<u8"), ids.fill_null(0).to_numpy().view("<u8"), held.astype("<u8"), per_doc.astype("<u8")]
+        often = np.argsort(-np.bincount(token, minlength=len(h)), kind="stable")  # small numbers for frequent words
+        short = np.empty(len(h), np.int64)
+        short[often] = np.arange(len(h))
+        meta = b"".join(x.tobytes() for x in (np.array([len(per_doc), len(h)], "<u8"), *about, h[often].astype("<u8")))
+        yield _record([(0, number, META, meta, pack(short[token]))])
+
+
+def _sent(n_parts: int, blank: int):
+    """Batches of documents -> their different words and pairs with training counts, by owner of the hash range."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 32
-        for serial, batch in enumerate(slices(batches)):
-            token, per_doc, h = _numbered(batch)
-            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+        for number, _, held, token, per_doc, h in _batches(batches):
             train = ~np.repeat(held, per_doc)
-            pair, at = _pairs(token, per_doc, h)
-            ids = batch.column("doc_id").cast(pa.int64())
-            about = [ids.is_valid().to_numpy(zero_copy_only=False).astype("<u8"), ids.fill_null(0).to_numpy().view("<u8"), held.astype("<u8"), per_doc.astype("<u8")]
-            often = np.argsort(-np.bincount(token, minlength=len(h)), kind="stable")  # small numbers for frequent words
-            short = np.empty(len(h), np.int64)
-            short[often] = np.arange(len(h))
-            meta = b"".join(x.tobytes() for x in (np.array([len(per_doc), len(h)], "<u8"), *about, h[often].astype("<u8")))
-            rows = [((base + serial) % n_parts, base + serial, META, meta, pack(short[token]))]
+            pair, at = _pairs(token, per_doc, h, blank)
             for kind, key, count in (
                 (WORD, h, np.bincount(token[train], minlength=len(h))),
                 (PAIR, pair, np.bincount(at[train], minlength=len(pair))),
             ):
                 cuts = parts(key, n_parts)
-                rows += [(p, base + serial, kind, pack_sorted(key[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield _record(rows)
+                yield _record([(p, number, kind, pack_sorted(key[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
 
     return run
 
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the owner of a hash range: the summed counts, in the order of each batch's hashes; and one row of totals."""
+    """In the owner of a hash range: the summed counts, in the order of each batch's hashes, and one row of totals."""
     asked: dict[int, list] = {WORD: [], PAIR: []}
     part = None
     for batch in batches:
         for p, b, kind, x, y in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
             part = p
-            if kind == META:
-                yield _record([(p, b, kind, x, y)])
-            else:
-                asked[kind].append((b, unpack_sorted(x), unpack(y)))
+            asked[kind].append((b, unpack_sorted(x), unpack(y)))
     for kind, lists in asked.items():
         if not lists:
             continue
@@ -123,7 +130,14 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _JOINED = "n long, v long, about binary, words binary, pairs binary"
 
 
-def _assembled(table: pa.Table) -> pa.Table:
+def _assembled(blank: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _with_counts(table, blank)
+
+    return run
+
+
+def _with_counts(table: pa.Table, blank: int) -> pa.Table:
     """For each batch, the training counts of every token and of its pair; totals pass through."""
     rows = sorted(table.to_pylist(), key=lambda r: r["p"])
     names = ["n", "v", "about", "words", "pairs"]
@@ -136,9 +150,11 @@ def _assembled(table: pa.Table) -> pa.Table:
     about, h = values[: 4 * docs].reshape(4, docs), values[4 * docs : 4 * docs + vocabulary]
     token = unpack(meta["b"]).astype(np.int64)
     count = {kind: np.concatenate([unpack(r["b"]) for r in rows if r["kind"] == kind]) for kind in (WORD, PAIR)}
+    pair, at = _pairs(token, about[3].astype(np.int64), h, blank)
+    if len(count[WORD]) != vocabulary or len(count[PAIR]) != len(pair):
+        raise RuntimeError("two scans of the documents were cut differently; run again")
     of_word = np.empty(vocabulary, np.uint64)
     of_word[np.argsort(h, kind="stable")] = count[WORD]
-    _, at = _pairs(token, about[3].astype(np.int64), h)
     blobs = (about.tobytes(), pack(of_word[token]), pack(count[PAIR][at]))
     return pa.table([pa.array([None], pa.int64()), pa.array([None], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=names)
 
@@ -197,16 +213,18 @@ def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: s
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per input row; learns where ``held_out`` is not true.
 
     A-Z is lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end, so a null or empty text is one token. Words are
-    told apart by 64-bit hashes. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c the token's
+    told apart by 64-bit hashes, pairs by 64 bits or as many as keep chance collisions below one in a corpus of the size. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c the token's
     count, N all and V the different tokens of the training texts; score is the model's log10 probability. Held out
     null counts as true. Without training texts the model is the uniform one. Repeated rows count and are scored
     each; an empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.spark_partition_id().alias("part"))
     n_parts = shuffle_partitions(rows)
-    sent = rows.mapInArrow(_sent(n_parts), _SENT)
+    blank = max(0, 64 - max(40, 2 * (n_parts * (16 << 20)).bit_length() - 6))
+    sent = rows.mapInArrow(_sent(n_parts, blank), _SENT)
     counted = sent.repartitionById(n_parts, "p").mapInArrow(_counted, _SENT)
-    joined = checkpoint(counted.groupBy("batch").applyInArrow(_assembled, _JOINED))
+    answered = counted.unionByName(rows.mapInArrow(_documents, _SENT))
+    joined = checkpoint(answered.groupBy("batch").applyInArrow(_assembled(blank), _JOINED))
     n, v = joined.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     batches = joined.filter("about IS NOT NULL").select("about", "words", "pairs")
     cells = batches.mapInArrow(_held_out_counts(n, v), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
