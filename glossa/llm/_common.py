@@ -38,7 +38,7 @@ def shuffle_partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Partitions for a hand-made exchange: the session's setting, or more if the input's size asks for it."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = -(-size // bytes_each) if size < 1 << 60 else 0
+    wanted = -(-size // bytes_each) if size < 1 << 54 else 0  # larger: not known to the planner
     return int(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
 
 
