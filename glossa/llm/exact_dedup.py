@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from glossa.llm._common import checkpoint
 
-MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: A chunk may end after a line end, or after a vowel and a space.
-BOUNDARY = "\\n|[aeiou] "
+MIN_CHUNK, MAX_CHUNK = 256, 4096
+#: A chunk may end after a line end, or between words at a mark that is met about once in 300 characters of prose, so that chunks fall in
+#: step again soon after an edit.
+BOUNDARY = "\\n|[aeiou][dlmr] (?=[aeiou])"
 
 
 def chunks(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
