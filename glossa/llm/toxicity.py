@@ -91,7 +91,8 @@ def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, pr
         mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step**2
         move = RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    return w, bias
+    # a text that shows no feature is no likelier toxic than the prior says
+    return w, min(bias, float(np.log(prior / (1 - prior))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
