@@ -147,7 +147,7 @@ def pair_entities(entities: DataFrame, relations: DataFrame, order_fallback: boo
     rest = entities.join(used, ["document_id", "ord"], "left_anti")
     short, long = F.col("role") == "short", F.col("role") == "long"
     partial = rest.filter(short | long).select("document_id", F.lit("partial").alias("how"), F.when(short, F.col("s")).alias("ss"), F.when(short, F.col("e")).alias("se"), F.when(long, F.col("s")).alias("ls"), F.when(long, F.col("e")).alias("le"))
-    out = pairs.drop("sord", "lord").unionByName(partial)
+    out = pairs.select("document_id", "how", "ss", "se", "ls", "le").unionByName(partial)
     d = (
         e.filter("n > 1").select("document_id", "id").distinct().select("document_id", F.lit("BIOC_DUPLICATE_ANNOTATION_ID").alias("code"))
         .unionByName(r.filter("sord IS NULL OR lord IS NULL").select("document_id", F.lit("BIOC_RELATION_ENDPOINT_UNRESOLVED").alias("code")))
