@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; texts in fewer splits than half the cores (one small file) are dealt over all cores, larger inputs stay as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() * 2 <= cores:
+        df = df.repartition(cores, "doc_id")
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
