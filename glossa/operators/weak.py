@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from glossa.functions.text import text_at
 
 PAIR = ["doc_id", "ss", "se", "ls", "le"]
+#: Patterns that may be broadcast.
+MOST_PATTERNS = 10_000
 
 
 def ledger(evidence: DataFrame, columns: list[str]) -> DataFrame:
@@ -61,7 +63,10 @@ def validate(patterns: DataFrame, pairs: DataFrame, docs: DataFrame, context: in
     lead = lambda c: F.substring(c, 1, 4)
     usable = p.withColumn("lead", lead(F.substring_index(F.replace("template", F.lit("<LF>"), F.lit("<SF>")), "<SF>", 1)))
     long = usable.filter(F.length("lead") == 4).join(t.withColumn("lead", lead(F.col("context"))), "lead").filter(F.regexp_like("context", F.col("pattern")))
-    short = usable.filter(F.length("lead") < 4).join(F.broadcast(t), F.regexp_like("context", F.col("pattern")))
+    short = usable.filter(F.length("lead") < 4)
+    # patterns that begin with a mask must be tried on every context; they are sent along if a count shows that they are few
+    short = F.broadcast(short) if short.count() <= MOST_PATTERNS else short
+    short = t.join(short, F.regexp_like("context", F.col("pattern")))
     hits = long.select("template", "n").unionByName(short.select("template", "n")).groupBy("template").agg(F.sum("n").alias("matched"))
     out = p.select("template").join(hits, "template", "left").na.fill(0, ["matched"]).join(F.broadcast(total), F.lit(True))
     return out.select("template", "held_out", "matched", (F.col("held_out") - F.col("matched")).alias("missed"))
