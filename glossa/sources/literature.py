@@ -101,3 +101,11 @@ def allie_xml(spark: SparkSession, path: str) -> DataFrame:
     g = x.groupBy("pair_id").agg(F.count(F.lit(1)).alias("c"), F.first("abbreviation").alias("sf_raw"), F.first("long_form").alias("lf_raw"), F.first("pair_number").alias("n"))
     g = g.filter(F.assert_true(F.col("c") == 1, F.lit("pair ids repeat")).isNull())
     return g.select("sf_raw", "lf_raw", F.lower("sf_raw").alias("sf_key"), F.lower("lf_raw").alias("lf_key"), "n")
+
+
+def licences(spark: SparkSession, path: str) -> DataFrame:
+    """path, url, cc_by of XML articles: the first licence link, and whether it is the attribution licence without further terms."""
+    text = F.decode("content", "UTF-8")
+    url = F.regexp_extract(text, r"(https?://creativecommons\.org/[A-Za-z0-9./-]+)", 1)
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.when(url != "", url).alias("url"), url.rlike(r"/licenses/by/[0-9.]+/?$").alias("cc_by"))
