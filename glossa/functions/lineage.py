@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Lets a union claim no partitioning.
+
+    Spark 4.1.2 lets a union of inputs that are partitioned alike claim their partitioning, though it has the sum of their partitions; joins
+    above it were seen to fail, or to repeat rows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the session's ``spark.checkpoint.dir``; where that is unset (tests), in a temporary folder."""
+    """Materialises ``df`` and cuts its lineage, in the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, one machine) a temporary folder is used.
+    """
+    plain_unions(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-"))

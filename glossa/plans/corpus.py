@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import plain_unions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; texts in fewer splits than half the cores (one small file) are dealt over all cores, larger inputs stay as they are read."""
+    plain_unions(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name == "documents" and df.rdd.getNumPartitions() * 2 <= cores:
-        df = df.repartition(cores, "doc_id")
+        df = df.repartition(cores)
     return df
 
 
