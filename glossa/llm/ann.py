@@ -27,7 +27,7 @@ TABLES, HASHES, PROBES = 16, 8, 250
 WIDTH = 1.06
 #: Rows that the width is fitted on.
 SAMPLE = 1000
-SHARD_ROWS, QUERY_BLOCK = 16_384, 1024
+SHARD_ROWS, QUERY_BLOCK = 8192, 1024
 
 
 def _clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -110,7 +110,9 @@ def _meet(clean: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, wor
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    keys = ["dim", "s", "b"]
+    keys, cells = ["dim", "s", "b"], shards * blocks
+    # few bytes but much work per cell: a fixed number of partitions, so that cells don't share a task for being small
+    asked, rows = asked.repartition(cells, *keys), rows.repartition(cells, *keys)
     return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(work, "query_id long, vec_id long, score double")
 
 
