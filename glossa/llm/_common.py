@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import checkpoint, plain_unions
+
+__all__ = ["ASCII_SPACE", "UPPER", "ascii_lower", "checkpoint", "crc_bucket", "shuffle_partitions", "spare_bits", "table"]
+
 #: Fixed value: the characters of ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one machine) a
-    temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII values take the cheaper built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -45,3 +35,12 @@ def shuffle_partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
+
+
+def spare_bits(n_parts: int, bytes_each: int = 16 << 20) -> int:
+    """Low bits that 64-bit hashes of a corpus's items can do without.
+
+    Twice the bits of the number of items keep the expected number of chance collisions in the whole corpus below one; more than the
+    items there can be in ``n_parts`` parts are counted on, and from about 30 GB of input no bit is spared.
+    """
+    return max(0, 64 - max(40, 2 * (n_parts * bytes_each).bit_length() - 6))

@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import components
 from glossa.llm._arrays import filled, hash_strings, mix64, owner, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
-from glossa.llm._common import checkpoint, shuffle_partitions
+from glossa.llm._common import checkpoint, shuffle_partitions, spare_bits
 
 WORDS = 5
 #: Similarity as a fraction of integers, so that links are decided without rounding.
@@ -32,13 +33,15 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Documents of a region that one task joins, and those that are compared without further pivots.
 REGION, LEAF = 1500, 32
 CELLS = 8
+#: Text bytes per batch.
+SLICE = 8 << 20
 #: Ids that may be broadcast (8 bytes each), as a count has checked; more are shuffled.
 BROADCAST_IDS = 500_000
 MOST_DF = 255
 
 
-def shingles(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (shingle hash, document index), ascending by hash, then document."""
+def shingles(texts: pa.Array, n_words: int, blank: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (shingle hash, document index), ascending by hash, then document; ``blank`` low bits of the hashes are 0."""
     index, offsets, unique = words(texts)
     h = hash_strings(unique)[index] if len(unique) else np.zeros(0, np.uint64)
     weights = mix64(np.arange(1, n_words + 1, dtype=np.uint64)) | np.uint64(1)
@@ -49,8 +52,9 @@ def shingles(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         full += h[k : len(h) - n_words + 1 + k] * weights[k] if len(full) else full
     inside = doc[: len(full)] == doc[n_words - 1 :] if len(full) else np.zeros(0, bool)
     short = np.flatnonzero((n > 0) & (n < n_words))
-    whole = [np.sum(h[offsets[i] : offsets[i + 1]] * weights[: n[i]], dtype=np.uint64) + np.uint64(n[i]) * np.uint64(0x632BE59BD9B4E019) for i in short]
-    value = mix64(np.concatenate([full[inside], np.array(whole, np.uint64)]))
+    # the length enters too, so that a short text's only shingle is none of another length
+    whole = [int(np.sum(h[offsets[i] : offsets[i + 1]] * weights[: n[i]], dtype=np.uint64)) + int(n[i]) * 0x632BE59BD9B4E019 & (1 << 64) - 1 for i in short]
+    value = mix64(np.concatenate([full[inside], np.array(whole, np.uint64)])) >> np.uint64(blank) << np.uint64(blank)
     own = np.concatenate([doc[: len(full)][inside], short])
     order = np.lexsort((own, value)) if len(short) else np.argsort(value, kind="stable")
     value, own = value[order], own[order]
@@ -71,13 +75,13 @@ def _set_hashes(value: np.ndarray, own: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def _sent(n_parts: int, n_words: int):
+def _sent(n_parts: int, n_words: int, blank: int):
     """Batches of documents -> shingles by owner of their hash range, and one row with the documents themselves."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
-        for serial, batch in enumerate(slices(batches)):
-            value, own = shingles(filled(batch.column("text")), n_words)
+        for serial, batch in enumerate(slices(batches, most=SLICE)):
+            value, own = shingles(filled(batch.column("text")), n_words, blank)
             n = batch.num_rows
             s1, s2 = _set_hashes(value, own, n)
             ids = batch.column("doc_id").cast(pa.int64())
@@ -176,12 +180,13 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Region:
     """Sets of one region, their links found so far as a forest."""
 
-    def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int) -> None:
+    def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray], num: int, den: int, every: bool = False) -> None:
         self.n, self.num, self.den = sizes.astype(np.int64), num, den
         self.reach = 1 - num / den + 1e-9
         self.tokens = [np.sort(t) for t in tokens]
         self.root = np.arange(len(sizes))
-        self.compared = 0
+        #: with ``every``, all links are looked for and kept, not only what joins trees
+        self.every, self.links = every, set()
 
     def overlap(self, p: int, members: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of p with each member, exactly."""
@@ -190,17 +195,22 @@ class Region:
         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
         seen = np.concatenate([[0], np.cumsum(own[at] == flat)])
         ends = np.cumsum([len(self.tokens[i]) for i in members])
-        self.compared += len(members)
         return np.diff(np.concatenate([[0], seen[ends]]))
 
     def measure(self, p: int, members: np.ndarray) -> np.ndarray:
         """Distances from p; members that link with p join its tree."""
         both = self.overlap(p, members)
         union = self.n[p] + self.n[members] - both
-        for r in np.unique(self.root[members[self.den * both >= self.num * union]]):
+        near = members[self.den * both >= self.num * union]
+        if self.every:
+            self.links.update((min(p, int(m)), max(p, int(m))) for m in near if m != p)
+        for r in np.unique(self.root[near]):
             self.root[self.root == r] = self.root[p]
         return 1 - both / union
 
+    def _done(self, members: np.ndarray) -> bool:
+        return not self.every and len(np.unique(self.root[members])) == 1
+
     def join(self, members: np.ndarray, home: np.ndarray | None = None) -> None:
         """Finds the links of pairs with at least one member of ``home`` (None: all) that are not in one tree yet."""
         home = members if home is None else home
@@ -211,10 +221,10 @@ class Region:
         while True:
             near.append(self.measure(pivots[-1], members))
             closest = np.min(near, axis=0)
-            if len(pivots) == CELLS or len(np.unique(self.root[members])) == 1:
+            if len(pivots) == CELLS or self._done(members):
                 break
             pivots.append(int(members[int(np.argmax(closest))]))
-        if len(np.unique(self.root[members])) == 1:
+        if self._done(members):
             return None
         near = np.array(near)
         cell = np.argmin(near, axis=0)
@@ -232,7 +242,7 @@ class Region:
 
     def compare(self, members: np.ndarray, home: np.ndarray, near: np.ndarray | None = None, home_near: np.ndarray | None = None) -> None:
         for k, p in enumerate(home):
-            other = self.root[members] != self.root[p]
+            other = members != p if self.every else self.root[members] != self.root[p]
             small, large = np.minimum(self.n[members], self.n[p]), np.maximum(self.n[members], self.n[p])
             other &= self.den * small >= self.num * large
             if near is not None:
@@ -241,15 +251,18 @@ class Region:
                 self.measure(int(p), members[other])
 
 
-def _joined(num: int, den: int):
+def _joined(num: int, den: int, every: bool):
     def run(table: pa.Table) -> pa.Table:
         uid = table.column("uid").to_numpy()
         order = np.argsort(uid, kind="stable")
         order = order[np.r_[True, np.diff(uid[order]) != 0]] if len(order) else order
         uid = uid[order]
         raw = table.column("tokens").to_pylist()
-        region = Region(table.column("n").to_numpy()[order], [np.frombuffer(raw[i], np.uint64) for i in order], num, den)
+        region = Region(table.column("n").to_numpy()[order], [np.frombuffer(raw[i], np.uint64) for i in order], num, den, every)
         region.join(np.arange(len(uid)))
+        if every:
+            pairs = np.array(sorted(region.links), np.int64).reshape(-1, 2)
+            return pa.Table.from_arrays([pa.array(uid[pairs[:, 1]]), pa.array(uid[pairs[:, 0]])], names=["a", "b"])
         linked = np.flatnonzero(region.root != np.arange(len(uid)))
         return pa.Table.from_arrays([pa.array(uid[linked]), pa.array(uid[region.root[linked]])], names=["a", "b"])
 
@@ -260,37 +273,11 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) with root the smallest node of its component, for links (a, b). Alternating large and small stars."""
-    edges = checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = checkpoint(small.unionByName(small_low.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = now
-
-
-def jaccard_join(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_size (rows with the same set), component_id.
-
-    A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a document's set is its distinct ``n_words``-word shingles, or
-    its whole word sequence if shorter; a text that is null or has no words has an empty set and links with nothing. Rows
-    link when den * |A and B| >= num * |A or B|; component_id is the smallest doc_id reachable by links, null ids
-    aside. Repeated rows and equal texts link as any rows do. An empty table gives an empty result; other columns are ignored.
-    Shingles and words are compared by 64-bit hashes.
-    """
+def _classes_and_links(docs: DataFrame, doc_id: str, text: str, n_words: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, their classes, and links between class representatives: all of them, or enough for the components."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_parts = shuffle_partitions(rows)
-    sent = rows.mapInArrow(_sent(n_parts, n_words), "p int, batch long, meta binary, hashes binary, owners binary")
+    sent = rows.mapInArrow(_sent(n_parts, n_words, spare_bits(n_parts)), "p int, batch long, meta binary, hashes binary, owners binary")
     shared = sent.repartitionById(n_parts, "p").mapInArrow(_shared, "batch long, meta binary, hashes binary, owners binary, df binary")
     sets = shared.groupBy("batch").applyInArrow(_assembled(num, den), "uid long, doc_id long, n long, s1 long, s2 long, prefix long, tokens binary")
     sets = checkpoint(sets)
@@ -305,13 +292,29 @@ def jaccard_join(
     large = _bounded(checkpoint(sizes.select("pivot", F.ceil(F.col("c") / (REGION // 2)).cast("int").alias("chunks"))))
     placed = members.join(large, "pivot", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64(F.lit("chunk"), "uid"), F.col("chunks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    placed = placed.withColumn("x", chunk).withColumn("y", F.explode(every))
+    all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
+    placed = placed.withColumn("x", chunk).withColumn("y", F.explode(all_chunks))
     # the pivot of a divided region meets every pair of chunks, so that what links with it is one tree everywhere
-    again = placed.filter((F.col("uid") == F.col("pivot")) & (F.col("chunks") > 1)).withColumn("x", F.explode(every))
+    again = placed.filter((F.col("uid") == F.col("pivot")) & (F.col("chunks") > 1)).withColumn("x", F.explode(all_chunks))
     placed = placed.unionByName(again).select("pivot", "uid", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j")).distinct()
     regions = placed.join(chosen.select("uid", "n", "tokens"), "uid")
-    links = regions.groupBy("pivot", "i", "j").applyInArrow(_joined(num, den), "a long, b long")
+    links = regions.groupBy("pivot", "i", "j").applyInArrow(_joined(num, den, every), "a long, b long")
+    return sets, classes, links
+
+
+def jaccard_join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, class_size (rows with the same set), component_id.
+
+    A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a document's set is its distinct ``n_words``-word shingles, or
+    its whole word sequence if shorter; a text that is null or has no words has an empty set and links with nothing. Rows
+    link when den * |A and B| >= num * |A or B|; component_id is the smallest doc_id reachable by links, null ids
+    aside. Repeated rows and equal texts link as any rows do. An empty table gives an empty result; other columns are ignored.
+    Words are compared by
+    64-bit hashes, shingles by 64 bits or as many as keep chance collisions below one in a corpus of the size.
+    """
+    sets, classes, links = _classes_and_links(docs, doc_id, text, n_words, num, den, every=False)
     roots = components(links)
 
     found = classes.join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", "least", "size", F.coalesce("root", "rep").alias("root"), F.col("root").isNotNull().alias("linked"))
@@ -325,6 +328,24 @@ def jaccard_join(
     )
 
 
+def jaccard_links(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR
+) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) of class numbers, a > b, each once, and membership (doc_id, class, class_size, n_links), a row per input row.
+
+    A class is the rows with one set; its rows all link with one another and are not expanded. n_links counts the rows that a row links with.
+    """
+    sets, classes, links = _classes_and_links(docs, doc_id, text, n_words, num, den, every=True)
+    pairs = checkpoint(links.distinct())
+    size = classes.select(F.col("rep").alias("b"), "size")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = both.join(size, "b").groupBy("a").agg(F.sum("size").alias("more"))
+    known = classes.select("s1", "s2", "rep", "size").join(more, F.col("rep") == F.col("a"), "left")
+    member = sets.select("doc_id", "uid", "n", "s1", "s2").join(known, ["s1", "s2"], "left")
+    n_links = F.when(F.col("n") > 0, F.col("size") - 1 + F.coalesce("more", F.lit(0))).otherwise(0)
+    return pairs, member.select("doc_id", F.coalesce("rep", "uid").alias("class"), F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), n_links.alias("n_links"))
+
+
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """One document of each component of ``jaccard_join``, that with the smallest doc_id, with all its columns.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm._arrays import filled, hash_strings, mix64, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
-from glossa.llm._common import checkpoint, shuffle_partitions
+from glossa.llm._common import checkpoint, shuffle_partitions, spare_bits
 
 #: Histogram cells per octave, and the code of probability zero.
 FINE, ZERO = 8, -4096
@@ -220,7 +220,7 @@ def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: s
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.spark_partition_id().alias("part"))
     n_parts = shuffle_partitions(rows)
-    blank = max(0, 64 - max(40, 2 * (n_parts * (16 << 20)).bit_length() - 6))
+    blank = spare_bits(n_parts)
     sent = rows.mapInArrow(_sent(n_parts, blank), _SENT)
     counted = sent.repartitionById(n_parts, "p").mapInArrow(_counted, _SENT)
     answered = counted.unionByName(rows.mapInArrow(_documents, _SENT))

@@ -13,7 +13,8 @@ import pytest
 
 from glossa.llm import jaccard_join as jj
 from glossa.llm._arrays import pack, pack_sorted, parts, unpack, unpack_sorted, words
-from glossa.llm.jaccard_join import Region, components, drop_similar, jaccard_join
+from glossa.functions.lineage import components
+from glossa.llm.jaccard_join import Region, drop_similar, jaccard_join, jaccard_links
 from glossa.llm.lm_scoring import learn_weights, lm_scores
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents, prose
@@ -80,6 +81,17 @@ def test_families(spark, change):
     assert result(jaccard_join(documents(spark, rows))) == brute_components(rows)
 
 
+@pytest.mark.parametrize("region", [1500, 20])
+def test_all_links_are_counted(spark, odd, odd_rows, monkeypatch, region):
+    monkeypatch.setattr(jj, "REGION", region)
+    for df, rows in ((odd, odd_rows), *((documents(spark, r), r) for r in [families(3, 30, 4, 6)])):
+        s = sets(rows)
+        want = Counter((rows[i][0], sum(j != i and bool(s[i]) and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]) for j in range(len(s)))) for i in range(len(s)))
+        pairs, members = jaccard_links(df)
+        assert Counter((r.doc_id, r.n_links) for r in members.collect()) == want
+        assert all(r.a > r.b for r in pairs.collect())
+
+
 def test_a_large_family_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(jj, "REGION", 20)
     rows = families(2, 70, 9, 5)
