@@ -138,3 +138,18 @@ def windows(docs: DataFrame, size: int = 2000, overlap: int = 200) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.length("text") - 1, F.lit(0)).cast("long"), F.lit(size - overlap).cast("long"))
     r = docs.select("doc_id", F.length("text").cast("long").alias("n"), F.explode(starts).alias("start"))
     return r.filter((F.col("start") == 0) | (F.col("start") + overlap < F.col("n"))).select("doc_id", "start", F.least(F.col("start") + size, F.col("n")).alias("end"))
+
+
+def window_spans(found: DataFrame, docs: DataFrame, labels: tuple[tuple[str, str], ...] = (("AC", "SF"), ("SF", "SF"), ("LF", "LF"))) -> DataFrame:
+    """doc_id, label, s, e of a tagger's spans (doc_id, start, label, ws, we) in windows: mapped labels, document offsets, valid ones, each once."""
+    name = reduce(lambda c, kv: F.when(F.col("label") == kv[0], kv[1]).otherwise(c), labels, F.lit(None).cast("string"))
+    r = found.select("doc_id", name.alias("label"), (F.col("start") + F.col("ws")).alias("s"), (F.col("start") + F.col("we")).alias("e")).join(docs.select("doc_id", F.length("text").alias("n")), "doc_id")
+    return r.filter("label IS NOT NULL AND s >= 0 AND s < e AND e <= n").select("doc_id", "label", "s", "e").distinct()
+
+
+def worker_pairs(results: DataFrame, request: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted pairs of a worker's results (doc_id, sf, lf, accepted) where both forms occur once, and documents of only one of the two sides."""
+    pairs = unique_pairs(results.filter("accepted").select("doc_id", "sf", "lf"), request)
+    a, b = results.select("doc_id").distinct().withColumn("r", F.lit(1)), request.select("doc_id").distinct().withColumn("q", F.lit(1))
+    odd = a.join(b, "doc_id", "full_outer").filter("r IS NULL OR q IS NULL").select("doc_id", F.when(F.col("r").isNull(), "unanswered").otherwise("unasked").alias("problem"))
+    return pairs, odd

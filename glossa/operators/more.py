@@ -107,6 +107,38 @@ def readiness(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     return c.select("case_id", issue.alias("issue")).filter("issue IS NOT NULL")
 
 
+def draw(ids: DataFrame, column: str, seed: str, n: int) -> DataFrame:
+    """n ids without replacement, the same for the same seed: those with the smallest hashes."""
+    return ids.select(column).distinct().orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")), 256)).limit(n)
+
+
+def crossing_locations(locations: DataFrame) -> DataFrame:
+    """annotation_id, n of discontinuous annotations (annotation_id, s, e) whose own parts overlap."""
+    w = Window.partitionBy("annotation_id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    r = locations.withColumn("reach", F.max("e").over(w))
+    return r.filter("s < reach").groupBy("annotation_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def best_stage(stages: DataFrame) -> DataFrame:
+    """The accepted stage (stage, accepted, metric, precision) with the best metric; a stage that loses precision to the best so far is rolled back."""
+    w = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)  # a row per iteration
+    held = stages.filter("accepted").withColumn("before", F.max("precision").over(w)).filter("before IS NULL OR precision >= before")
+    return held.agg(F.max(F.struct("metric", (-F.col("stage")).alias("order"), "stage")).alias("m")).select("m.stage", "m.metric")
+
+
+def corpus_audit(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """what, n: entities by role, those without a span, repeated ids, and relations."""
+    rep = entities.groupBy("document_id", "id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.lit("repeated_id").alias("what"))
+    rows = entities.select(F.concat(F.lit("role:"), "role").alias("what")).unionByName(entities.filter("s IS NULL").select(F.lit("no_span").alias("what"))).unionByName(rep)
+    return rows.unionByName(relations.select(F.lit("relation").alias("what"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows; a value that is null, NaN or infinite fails the job."""
+    ok = reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), columns, F.lit(True))
+    return df.filter(F.assert_true(ok, F.lit("features must be finite")).isNull())
+
+
 def leaked_fields(df: DataFrame, forbidden: tuple[str, ...] = ("prediction", "score", "confidence")) -> list[str]:
     """Names, nested ones too, of fields of a packet that would give predictions away."""
     found: list[str] = []

@@ -72,16 +72,18 @@ def bioc_json(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.col("d.id").alias("id"), F.transform("d.passages", passage).alias("passage"), relation(F.col("d.relations")).alias("relation"))
 
 
-def bioc_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bioc_tables(rows: DataFrame, discontinuous: str = "first") -> tuple[DataFrame, DataFrame, DataFrame]:
     """passages (document_id, i, offset, text), entities (document_id, ord, id, role, s, e, text) and relations (document_id, k, short_id, long_id).
 
-    An entity is where its first location says; one without a location has no span. A relation counts if exactly one node is short and one is long.
+    An entity is where its first location says; one without a location has no span, nor has one with several if ``discontinuous`` is
+    "reject". A relation counts if exactly one node is short and one is long.
     """
     p = rows.select(F.col("id").alias("document_id"), F.posexplode("passage").alias("i", "p"))
     passages = p.select("document_id", "i", F.col("p.offset").alias("offset"), F.coalesce("p.text", F.lit("")).alias("text"))
     a = p.select("document_id", "i", F.posexplode("p.annotation").alias("j", "a"))
     kind = F.get(F.filter("a.infon", lambda x: x["_key"] == "type"), F.lit(0))["_VALUE"]
     where = F.get(F.col("a.location"), F.lit(0))
+    where = F.when(F.size("a.location") == 1, where) if discontinuous == "reject" else where
     entities = a.select(
         "document_id", (F.col("i") * 100_000 + F.col("j")).alias("ord"), F.col("a._id").alias("id"), role(F.coalesce(kind, F.lit("")), F.col("a._id")).alias("role"),
         where["_offset"].alias("s"), (where["_offset"] + where["_length"]).alias("e"), F.col("a.text").alias("text"),
@@ -205,6 +207,19 @@ def delimited(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.filter(fine).drop("bad"), raw.filter(~F.coalesce(fine, F.lit(False))).select("document_id", F.lit("DELIMITED_ROW_INVALID").alias("code"))
 
 
+def templated_pairs(spark: SparkSession, path: str, template: str = "{long} ({short})") -> DataFrame:
+    """document_id, text, ss, se, ls, le of two-column TSV (short, long): texts made by a template in which each form stands once."""
+    raw = spark.read.schema("short string, long string").option("sep", "\t").option("comment", "#").csv(path).filter("short IS NOT NULL AND long IS NOT NULL")
+    first, second = ("short", "long") if template.index("{short}") < template.index("{long}") else ("long", "short")
+    head, rest = template.split("{" + first + "}")
+    mid, tail = rest.split("{" + second + "}")
+    a, b = F.lit(len(head)).cast("long"), (F.length(first) + len(head) + len(mid)).cast("long")
+    spans = {first: (a, a + F.length(first)), second: (b, b + F.length(second))}
+    text = F.concat(F.lit(head), first, F.lit(mid), second, F.lit(tail))
+    names = [x.alias(n) for k, p in (("short", "s"), ("long", "l")) for x, n in zip(spans[k], (f"{p}s", f"{p}e"), strict=True)]
+    return raw.select(F.sha2(F.concat_ws("\t", "short", "long"), 256).alias("document_id"), text.alias("text"), *names)
+
+
 def snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sections, mapped pairs and dropped pairs of a section-snapshot JSONL."""
     pair = f"struct<short_form:{SPAN},long_form:{SPAN},mapping_status:string>"
