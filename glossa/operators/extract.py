@@ -148,12 +148,17 @@ def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240)
     """doc_id, ss, se, ls, le: lexicon pairs whose raw forms both occur in the text, starts at most ``max_window`` apart."""
     tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))).alias("token"))
     tokens = tokens.select("doc_id", F.lower("token").alias("sf_key"))
-    hits = tokens.join(lexicon.select("sf_key", "sf_raw", "lf_raw"), "sf_key").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("lf_raw")))
-    so, lo = occurrences(F.col("text"), F.col("sf_raw")), occurrences(F.col("text"), F.col("lf_raw"))
-    hits = hits.select("doc_id", F.length("sf_raw").alias("k"), F.length("lf_raw").alias("m"), F.explode(so).alias("ss"), lo.alias("lo"))
+    hits = tokens.join(lexicon.select("sf_key", "sf_raw", "lf_raw"), "sf_key").groupBy("doc_id").agg(F.collect_list(F.struct("sf_raw", "lf_raw")).alias("pairs"))
+    # a text meets the list of its pairs once, and leaves before the pairs become rows
+    both = hits.join(docs.select("doc_id", "text"), "doc_id")
+    there = F.filter("pairs", lambda p: F.contains(F.col("text"), p["lf_raw"]))
+    place = lambda p: F.struct(
+        F.length(p["sf_raw"]).alias("k"), F.length(p["lf_raw"]).alias("m"), occurrences(F.col("text"), p["sf_raw"]).alias("so"), occurrences(F.col("text"), p["lf_raw"]).alias("lo")
+    )
+    rows = both.select("doc_id", F.explode(F.transform(there, place)).alias("p")).select("doc_id", "p.k", "p.m", "p.lo", F.explode("p.so").alias("ss"))
     near = F.filter("lo", lambda x: F.abs(x - F.col("ss")) <= max_window)
-    hits = hits.select("doc_id", "ss", "k", "m", F.explode(near).alias("ls"))
-    return hits.select("doc_id", "ss", _long(F.col("ss") + F.col("k"), "se"), "ls", _long(F.col("ls") + F.col("m"), "le"))
+    rows = rows.select("doc_id", "ss", "k", "m", F.explode(near).alias("ls"))
+    return rows.select("doc_id", "ss", _long(F.col("ss") + F.col("k"), "se"), "ls", _long(F.col("ls") + F.col("m"), "le"))
 
 
 def candidate_pipeline(generators: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
