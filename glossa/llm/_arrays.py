@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +15,15 @@ import zstandard
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task should not hold the arrays of its last."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` text bytes; a longer text is a piece of its own."""
     for batch in batches:
@@ -24,6 +34,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def filled(texts: pa.Array) -> pa.Array:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.lineage import components
-from glossa.llm._arrays import filled, hash_strings, mix64, owner, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
+from glossa.llm._arrays import filled, give_back, hash_strings, mix64, owner, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
 from glossa.llm._common import checkpoint, shuffle_partitions, spare_bits
 
 WORDS = 5
@@ -34,7 +34,7 @@ NUMERATOR, DENOMINATOR = 80, 100
 REGION, LEAF = 1500, 32
 CELLS = 8
 #: Text bytes per batch.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Ids that may be broadcast (8 bytes each), as a count has checked; more are shuffled.
 BROADCAST_IDS = 500_000
 MOST_DF = 255
@@ -131,6 +131,8 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = mine > 1
         if keep.any():
             yield record([(b, None, pack_sorted(v[keep]), pack(unpack(o)[keep]), pack(mine[keep]))])
+    del every, order, new, df, values
+    give_back()
 
 
 def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
