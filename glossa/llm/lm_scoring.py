@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm._arrays import filled, hash_strings, mix64, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
+from glossa.llm._arrays import filled, give_back, hash_strings, mix64, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
 from glossa.llm._common import checkpoint, shuffle_partitions, spare_bits
 
 #: Histogram cells per octave, and the code of probability zero.
@@ -26,7 +26,7 @@ FINE, ZERO = 8, -4096
 BUCKETS = 64
 ROUNDS = 60
 #: Text bytes per batch: the larger, the fewer repeats of a pair are sent.
-SLICE = 9 << 20
+SLICE = 6 << 20
 END, START = np.uint64(0x8F0A6B1C5D3E2F47), np.uint64(0x1D2C3B4A59687786)
 
 
@@ -125,6 +125,8 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == WORD:
             sums = np.array([int(total.sum()), int((total > 0).sum())], "<u8").tobytes()
             yield _record([(part, -1 - part, TOTAL, sums, None)])
+        del every, order, new, count, total
+    give_back()
 
 
 _JOINED = "n long, v long, about binary, words binary, pairs binary"
