@@ -15,7 +15,7 @@ from glossa.llm.ann import Tables, ann_search
 from glossa.llm.language_id import language_id
 from glossa.llm.learned_queries import op1_ann, op4_language_id, op9_toxicity
 from glossa.llm.packing import WordIds, best_fit, pack_sequences
-from glossa.llm.toxicity import drop_toxic, toxicity, train_nnpu
+from glossa.llm.toxicity import drop_toxic, telling, toxicity, train_nnpu
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents, prose
 
@@ -170,3 +170,30 @@ def test_toxicity_of_odd_texts(spark, odd, odd_rows, none):
     assert max(r.score for r in quiet) < 1e-9
     left = drop_toxic(odd, labels, F.lit(True))
     assert left.columns == odd.columns and left.count() == sum(r.score < 0.3 for r in got)
+
+
+@pytest.mark.parametrize(("prior", "marked"), [(0.02, 0.05), (0.2, 0.05), (0.25, 0.05), (1 / 3, 0.07)])
+def test_telling_features_at_any_share_of_toxic_texts(prior, marked):
+    rng = np.random.default_rng(5)
+    positive = np.repeat([1, 0], [3000, 9000])
+    toxic = (positive == 1) | (rng.random(12000) < prior)
+    # 0: in a small part of the toxic texts and in no other; 1: twice as frequent in toxic texts; the others in all texts alike
+    share = lambda y: np.array([marked if y else 0.0, 0.2 if y else 0.1, *np.geomspace(0.001, 0.5, 50)])
+    rows = [np.flatnonzero(rng.random(52) < share(y)) for y in toxic]
+    assert telling(rows, positive, 52, prior).tolist() == [0]
+
+
+@pytest.mark.parametrize("hot", ["copies", "near copies", "other texts"])
+def test_toxicity_with_a_third_of_the_rows_toxic(spark, hot):
+    marks = ["blarg", "frumious", "snark", "jabber"]
+    rows = [(i, prose(i, 30) + (f" blarg " + prose(i + 7, 9) if i % 20 < 2 else ""), "en", "a") for i in range(2400)]
+    texts = {"copies": lambda i: "zork and snark " + prose(3, 30), "near copies": lambda i: f"zork and snark {prose(3, 30)} {prose(i, 2)}", "other texts": lambda i: f"{prose(i + 31, 20)} {marks[i % 4]} {prose(i, 10)}"}
+    rows += [(5000 + i, texts[hot](i), "en", "hot") for i in range(1200)]
+    docs = documents(spark, rows)
+    bad = {i: int(i >= 5000 or i % 20 < 2) for i, *_ in rows}
+    labels = spark.createDataFrame(list(bad.items()), "doc_id long, toxic int")
+    held = F.col("doc_id") % 3 == 1
+    got = toxicity(docs, labels, ~held).filter(held).collect()
+    found = {r.doc_id for r in got if r.score >= 0.3}
+    want = {r.doc_id for r in got if bad[r.doc_id]}
+    assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(want)
