@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.lineage import checkpoint, plain_unions
 
-__all__ = ["ASCII_SPACE", "UPPER", "ascii_lower", "checkpoint", "crc_bucket", "shuffle_partitions", "spare_bits", "table"]
+__all__ = ["ASCII_SPACE", "UPPER", "ascii_lower", "checkpoint", "crc_bucket", "shuffle_partitions", "table"]
 
 #: Fixed value: the characters of ``[\x20\x09-\x0D]``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -35,12 +35,3 @@ def shuffle_partitions(df: DataFrame, bytes_each: int = 16 << 20) -> int:
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
-
-
-def spare_bits(n_parts: int, bytes_each: int = 16 << 20) -> int:
-    """Low bits that 64-bit hashes of a corpus's items can do without.
-
-    Twice the bits of the number of items keep the expected number of chance collisions in the whole corpus below one; more than the
-    items there can be in ``n_parts`` parts are counted on, and from about 30 GB of input no bit is spared.
-    """
-    return max(0, 64 - max(40, 2 * (n_parts * bytes_each).bit_length() - 6))

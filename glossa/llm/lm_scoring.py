@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm._arrays import filled, give_back, hash_strings, mix64, pack, pack_sorted, parts, slices, unpack, unpack_sorted, words
-from glossa.llm._common import checkpoint, shuffle_partitions, spare_bits
+from glossa.llm._common import checkpoint, shuffle_partitions
 
 #: Histogram cells per octave, and the code of probability zero.
 FINE, ZERO = 8, -4096
@@ -43,12 +43,12 @@ def _numbered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return rank[token], n + 1, h[order]
 
 
-def _pairs(token: np.ndarray, per_doc: np.ndarray, h: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the different (word before, word) pairs, ascending, and the number of each token's pair; ``blank`` low bits are 0."""
+def _pairs(token: np.ndarray, per_doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different (word before, word) pairs, ascending, and the number of each token's pair."""
     before = np.empty(len(token), np.uint64)
     before[1:] = h[token[:-1]]
     before[np.cumsum(per_doc) - per_doc] = START
-    g = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h[token]) >> np.uint64(blank) << np.uint64(blank)
+    g = mix64(before * np.uint64(0x9E3779B97F4A7C15) + h[token])
     return np.unique(g, return_inverse=True)
 
 
@@ -82,13 +82,13 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record([(0, number, META, meta, pack(short[token]))])
 
 
-def _sent(n_parts: int, blank: int):
+def _sent(n_parts: int):
     """Batches of documents -> their different words and pairs with training counts, by owner of the hash range."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, held, token, per_doc, h in _batches(batches):
             train = ~np.repeat(held, per_doc)
-            pair, at = _pairs(token, per_doc, h, blank)
+            pair, at = _pairs(token, per_doc, h)
             for kind, key, count in (
                 (WORD, h, np.bincount(token[train], minlength=len(h))),
                 (PAIR, pair, np.bincount(at[train], minlength=len(pair))),
@@ -132,14 +132,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _JOINED = "n long, v long, about binary, words binary, pairs binary"
 
 
-def _assembled(blank: int):
-    def run(table: pa.Table) -> pa.Table:
-        return _with_counts(table, blank)
-
-    return run
-
-
-def _with_counts(table: pa.Table, blank: int) -> pa.Table:
+def _assembled(table: pa.Table) -> pa.Table:
     """For each batch, the training counts of every token and of its pair; totals pass through."""
     rows = sorted(table.to_pylist(), key=lambda r: r["p"])
     names = ["n", "v", "about", "words", "pairs"]
@@ -152,7 +145,7 @@ def _with_counts(table: pa.Table, blank: int) -> pa.Table:
     about, h = values[: 4 * docs].reshape(4, docs), values[4 * docs : 4 * docs + vocabulary]
     token = unpack(meta["b"]).astype(np.int64)
     count = {kind: np.concatenate([unpack(r["b"]) for r in rows if r["kind"] == kind]) for kind in (WORD, PAIR)}
-    pair, at = _pairs(token, about[3].astype(np.int64), h, blank)
+    pair, at = _pairs(token, about[3].astype(np.int64), h)
     if len(count[WORD]) != vocabulary or len(count[PAIR]) != len(pair):
         raise RuntimeError("two scans of the documents were cut differently; run again")
     of_word = np.empty(vocabulary, np.uint64)
@@ -214,19 +207,18 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per input row; learns where ``held_out`` is not true.
 
-    A-Z is lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end, so a null or empty text is one token. Words are
-    told apart by 64-bit hashes, pairs by 64 bits or as many as keep chance collisions below one in a corpus of the size. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c the token's
+    A-Z is lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end, so a null or empty text is one token. Words and
+    pairs are told apart by 64-bit hashes. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c the token's
     count, N all and V the different tokens of the training texts; score is the model's log10 probability. Held out
     null counts as true. Without training texts the model is the uniform one. Repeated rows count and are scored
     each; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.spark_partition_id().alias("part"))
     n_parts = shuffle_partitions(rows)
-    blank = spare_bits(n_parts)
-    sent = rows.mapInArrow(_sent(n_parts, blank), _SENT)
+    sent = rows.mapInArrow(_sent(n_parts), _SENT)
     counted = sent.repartitionById(n_parts, "p").mapInArrow(_counted, _SENT)
     answered = counted.unionByName(rows.mapInArrow(_documents, _SENT))
-    joined = checkpoint(answered.groupBy("batch").applyInArrow(_assembled(blank), _JOINED))
+    joined = checkpoint(answered.groupBy("batch").applyInArrow(_assembled, _JOINED))
     n, v = joined.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     batches = joined.filter("about IS NOT NULL").select("about", "words", "pairs")
     cells = batches.mapInArrow(_held_out_counts(n, v), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()

@@ -12,10 +12,10 @@ import pyarrow as pa
 import pytest
 
 from glossa.llm import jaccard_join as jj
-from glossa.llm._arrays import pack, pack_sorted, parts, unpack, unpack_sorted, words
+from glossa.llm._arrays import mix64, pack, pack_sorted, parts, unpack, unpack_sorted, words
 from glossa.functions.lineage import components
 from glossa.llm.jaccard_join import Region, drop_similar, jaccard_join, jaccard_links
-from glossa.llm.lm_scoring import learn_weights, lm_scores
+from glossa.llm.lm_scoring import _pairs, learn_weights, lm_scores
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents, prose
 
@@ -122,6 +122,14 @@ def test_regions_join_exactly():
         assert same(list(region.root)) == same(root), trial
 
 
+def test_hashes_are_as_wide_for_small_inputs(odd):
+    found = jj._classes_and_links(odd, "doc_id", "text", 3, 4, 5, every=False)[0].filter("tokens IS NOT NULL").collect()
+    shingles = np.concatenate([np.frombuffer(r.tokens, "<u8") for r in found])
+    pairs = _pairs(np.arange(50), np.array([20, 30]), mix64(np.arange(50, dtype=np.uint64)))[0]
+    for hashes in (shingles, pairs):
+        assert len(hashes) and (hashes & np.uint64(0xFF)).any()
+
+
 def test_one_of_each_component_stays(odd, odd_rows):
     left = drop_similar(odd)
     assert left.columns == odd.columns
