@@ -86,7 +86,8 @@ def _sent(n_parts: int, n_words: int):
             s1, s2 = _set_hashes(value, own, n)
             ids = batch.column("doc_id").cast(pa.int64())
             doc = [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)]
-            about = [*doc, np.bincount(own, minlength=n).astype(np.uint64), s1, s2]
+            keys = [batch.column("key").to_numpy().view(np.uint64)] if "key" in batch.schema.names else []
+            about = [*doc, np.bincount(own, minlength=n).astype(np.uint64), s1, s2, *keys]
             cuts = parts(value, n_parts)
             rows = [((base + serial) % n_parts, b"".join(a.astype("<u8").tobytes() for a in about), None, None)]
             rows += [(p, None, pack_sorted(value[a:b]), pack(own[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
@@ -140,11 +141,11 @@ def needed(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-num * n // den)
 
 
-def _assembled(num: int, den: int):
+def _assembled(num: int, den: int, keyed: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         meta = next(r["meta"] for r in rows if r["meta"] is not None)
-        valid, ids, n, s1, s2 = np.frombuffer(meta, "<u8").reshape(5, -1)
+        valid, ids, n, s1, s2, *keys = np.frombuffer(meta, "<u8").reshape(5 + keyed, -1)
         docs, n = len(n), n.astype(np.int64)
         answers = [r for r in rows if r["meta"] is None]
         value = np.concatenate([unpack_sorted(r["hashes"]) for r in answers] or [np.zeros(0, np.uint64)])
@@ -164,8 +165,9 @@ def _assembled(num: int, den: int):
             [
                 pa.array(uid, pa.int64()), pa.array(ids.view(np.int64), mask=valid == 0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                 pa.array(np.where(live, prefix, 0)), pa.array(tokens, pa.binary()),
+                *(pa.array(k.view(np.int64)) for k in keys),
             ],
-            names=["uid", "doc_id", "n", "s1", "s2", "prefix", "tokens"],
+            names=["uid", "doc_id", "n", "s1", "s2", "prefix", "tokens", *["key"] * keyed],
         )
 
     return run
@@ -275,16 +277,21 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _classes_and_links(docs: DataFrame, doc_id: str, text: str, n_words: int, num: int, den: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sets of all rows, their classes, and links between class representatives: all of them, or enough for the components."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _classes_and_links(docs: DataFrame, doc_id: str, text: str, n_words: int, num: int, den: int, every: bool, key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of all rows, their classes, and links between class representatives: all of them, or enough for the components.
+
+    With ``key``, a long column, sets have it as ``key``, and classes have ``first``, the least (no id, doc_id, key) of their rows.
+    """
+    keys = [F.col(key).alias("key")] if key else []
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keys)
     n_parts = shuffle_partitions(rows)
     sent = rows.mapInArrow(_sent(n_parts, n_words), "p int, batch long, meta binary, hashes binary, owners binary")
     shared = sent.repartitionById(n_parts, "p").mapInArrow(_shared, "batch long, meta binary, hashes binary, owners binary, df binary")
-    sets = shared.groupBy("batch").applyInArrow(_assembled(num, den), "uid long, doc_id long, n long, s1 long, s2 long, prefix long, tokens binary")
+    sets = shared.groupBy("batch").applyInArrow(_assembled(num, den, bool(key)), "uid long, doc_id long, n long, s1 long, s2 long, prefix long, tokens binary" + (", key long" if key else ""))
     sets = checkpoint(sets)
 
-    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.max("prefix").alias("prefix"))
+    more = [F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")] if key else []
+    classes = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"), *more, F.count(F.lit(1)).alias("size"), F.max("prefix").alias("prefix"))
     reps = checkpoint(classes.filter("prefix > 0").select(F.col("rep").alias("uid")))
     chosen = sets.filter("tokens IS NOT NULL").join(_bounded(reps), "uid", "left_semi")
     tokens = checkpoint(chosen.select("uid", "prefix", "tokens").mapInArrow(_prefixes, "token long, uid long"))
@@ -349,15 +356,26 @@ def jaccard_links(
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """One document of each component of ``jaccard_join``, that with the smallest doc_id, with all its columns.
+    """One row of each component of ``jaccard_join``, that with the smallest doc_id, with all its columns.
 
-    Rows of one doc_id stay or go together, and of those that stay one stays; rows without a doc_id stay.
+    Decided by row: rows of one doc_id with different texts stay or go each for itself. In a component rows without a doc_id come last, and of
+    rows with one doc_id that with the smallest text hash is taken. Of rows that repeat doc_id and text one stays. Rows without words
+    link with nothing; of them only repeats of a doc_id go.
     """
-    decided = checkpoint(jaccard_join(docs, doc_id, text, **options).select("doc_id", "component_id"))
-    gone = decided.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    repeats = decided.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), key.alias("key"))
+    sets, classes, links = _classes_and_links(rows, "doc_id", "text", options.get("n_words", WORDS), options.get("num", NUMERATOR), options.get("den", DENOMINATOR), every=False, key="key")
+    roots = components(links)
+    known = classes.join(roots, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"), "first", "size")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    best = known.groupBy("root").agg(F.min("first").alias("best"), F.sum("size").alias("rows")).filter(F.col("rows") > 1)
+    decided = sets.filter("n > 0").select("s1", "s2", "doc_id", "key").join(known.select("s1", "s2", "root").join(best, "root"), ["s1", "s2"])
+    decided = checkpoint(decided.select("doc_id", "key", (first == F.col("best")).alias("stays")))
+    gone = decided.filter("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    left = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")) & (key == F.col("__key")), "left_anti")
+    repeats = sets.filter("doc_id IS NOT NULL OR n > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeats.isEmpty():
-        named = left.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-        left = named.unionByName(left.filter(F.col(doc_id).isNull()))
+        # rows without an id and without words link with nothing, so that they are no repeats
+        alone = F.when(F.col(doc_id).isNull() & ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())
+        left = left.withColumn("__key", key).withColumn("__alone", alone).dropDuplicates([doc_id, "__key", "__alone"]).drop("__key", "__alone")
     return left

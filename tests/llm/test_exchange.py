@@ -138,6 +138,15 @@ def test_one_of_each_component_stays(odd, odd_rows):
     assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want) and ids.count(None) == 2
 
 
+def test_rows_of_one_doc_id_are_decided_each(spark):
+    one, two, three = prose(1, 40), prose(2, 40), prose(3, 40)
+    # 7 has a near copy of 1's text and an unrelated text; 8 has two unrelated texts; of the near copies without an id one stays
+    rows = [(1, one), (7, one + " more"), (7, two), (8, prose(4, 40)), (8, prose(5, 40)), (8, prose(5, 40)), (None, three), (None, three), (None, three + " more"), (None, one), (None, None), (None, "")]
+    left = [(r.doc_id, r.text) for r in drop_similar(documents(spark, [(i, t, "en", "a") for i, t in rows])).collect()]
+    assert Counter(x for x in left if x[1] not in (three, three + " more")) == Counter([(1, one), (7, two), (8, prose(4, 40)), (8, prose(5, 40)), (None, None), (None, "")])
+    assert len(left) == 7
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     links = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).orderBy(F.rand(1))
