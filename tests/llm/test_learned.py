@@ -89,6 +89,14 @@ def test_language_of_odd_texts(spark, odd, none):
     assert {r.lang_pred for r in language_id(digits, F.lit(True), reject_above=-1.0).collect()} == {"und"}
 
 
+def test_a_cut_off_rejects_the_farther_texts_only(spark):
+    docs = documents(spark, [(i, prose(i, 20), "en", "a") for i in range(20)] + [(100 + i, f"zq{i} xw vv", None, "b") for i in range(10)])
+    free = {r.doc_id: r.distance for r in language_id(docs, F.lit(True)).collect()}
+    cut = (max(free[i] for i in range(20)) + min(free[100 + i] for i in range(10))) / 2
+    got = {r.doc_id: r.lang_pred for r in language_id(docs, F.lit(True), reject_above=cut).collect()}
+    assert got == {i: "und" if i >= 100 else "en" for i in free}
+
+
 def test_a_prediction_does_not_depend_on_its_neighbours(spark):
     a = documents(spark, [(i, t, "en", "s") for i, t in enumerate(["alpha beta", "der die das", "alpha beta"])])
     m = {r.doc_id: r.score for r in language_id(a, F.col("doc_id") < 2).collect()}
