@@ -1,7 +1,8 @@
-"""Checkpoints in the shared folder, and distributed ranks."""
+"""Checkpoints in the shared folder, joins on skewed keys, and distributed ranks and components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,15 +19,58 @@ def plain_unions(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` and cuts its lineage, in the session's ``spark.checkpoint.dir``.
+    """Materialises ``df`` and cuts its lineage, in the session's ``spark.checkpoint.dir``."""
+    plain_unions(df.sparkSession)
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's own setting.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    Without either, one machine (a local master, as in tests) gets a temporary folder; a cluster's executors could not read one another's.
     """
-    plain_unions(df.sparkSession)
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="glossa-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glossa-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Each wanted name, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key that more rows than this meet is joined by broadcast instead of in one task; there are MAX_HOT such keys at most.
+HOT_ROWS, MAX_HOT = 1000, 100_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key and in ``weight`` the number of rows of ``left`` that meet it.
+
+    Keys with more than ``HOT_ROWS`` rows, or a ``MAX_HOT``-th of all if that is more, are broadcast: so there are ``MAX_HOT`` of them at
+    most, however large the tables are. The rows of the other keys are shuffled. ``how``: left or inner. Both sides are read more than
+    once, so they should be checkpoints.
+    """
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    limit = max(HOT_ROWS, total // MAX_HOT)
+    hot = right.filter(F.col(weight) > limit)
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(F.col(weight) <= limit), keys, how)
+    return left.join(F.broadcast(hot), keys).select(*cold.columns).unionByName(cold)
 
 
 def hash_rank(df: DataFrame, digest: Column, name: str = "rank") -> DataFrame:
@@ -34,12 +78,13 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank") -> DataFrame:
 
     Rows are counted per four-digit prefix; the prefix sums of those 65536 counts give each prefix its first rank.
     """
-    rows = df.withColumn("__digest", digest).withColumn("__cell", F.substring("__digest", 1, 4))
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = F.row_number().over(Window.partitionBy("__cell").orderBy("__digest"))
-    ranked = rows.join(F.broadcast(cells), "__cell").withColumn(name, (F.col("__first") + within - 1).cast("long"))
-    return ranked.drop("__cell", "__first", "__digest")
+    digest_, cell, n, first = free_names(df, "digest", "cell", "n_cell", "first_rank")
+    rows = df.withColumn(digest_, digest).withColumn(cell, F.substring(digest_, 1, 4))
+    before = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(cell).agg(F.count(F.lit(1)).alias(n)).select(cell, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = F.row_number().over(Window.partitionBy(cell).orderBy(digest_))
+    ranked = rows.join(F.broadcast(cells), cell).withColumn(name, (F.col(first) + within - 1).cast("long"))
+    return ranked.drop(cell, first, digest_)
 
 
 def components(links: DataFrame) -> DataFrame:
