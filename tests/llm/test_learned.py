@@ -205,3 +205,26 @@ def test_toxicity_with_a_third_of_the_rows_toxic(spark, hot):
     found = {r.doc_id for r in got if r.score >= 0.3}
     want = {r.doc_id for r in got if bad[r.doc_id]}
     assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.1 * len(want)
+
+
+def test_hot_buckets_are_cut_and_rows_are_not_copied_per_query(spark, monkeypatch):
+    from glossa.llm import ann
+
+    rng = np.random.default_rng(8)
+    same = [float(x) for x in rng.standard_normal(6)]
+    rows = [(i, same if i % 3 else [float(x) for x in rng.standard_normal(6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(ann, "QUERY_BATCH", 7)
+    got = ann_search(df, lambda i: i % 30 == 0, probes=6561).collect()
+    want = brute_neighbours(rows, 10, lambda i: i % 30 == 0)
+    assert {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == {q: [i for _, i in near] for q, near in want.items()}
+    sent = []
+    real = ann._sent
+    monkeypatch.setattr(ann, "_sent", lambda batch, row, cell, n, asks: sent.append((asks, len(real(batch, row, cell, n, asks)))) or real(batch, row, cell, n, asks))
+    x = ann._clean(df, "vec_id", "embedding").toArrow().combine_chunks().to_batches()[0]
+    f = ann.Tables(6, 1.5, ann.TABLES, ann.HASHES, 100, 7)
+    v = ann._matrix(x.column("v"))
+    cell = np.concatenate([f.buckets(f.codes(v, t)[0], t) for t in range(ann.TABLES)])
+    out = ann._sent(x, np.tile(np.arange(len(v)), ann.TABLES), cell, 1 << 20, False)
+    assert sent == [(False, len(out))] and len(out) <= ann.TABLES * len(rows)
