@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import free_names, skew_join
 from glossa.llm._common import checkpoint
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
+#: Rows that ``drop_copies`` drops are broadcast (about 50 bytes each) up to this many, as a count has checked.
+BROADCAST_ROWS = 500_000
 #: A chunk may end after a line end, or between words at a mark that is met about once in 300 characters of prose, so that chunks fall in
 #: step again soon after an edit.
 BOUNDARY = "\\n|[aeiou][dlmr] (?=[aeiou])"
@@ -59,12 +62,21 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are equal when their recipes are; a null text counts as empty. Of equal texts the row with the largest doc_id
     stays (a null doc_id is smaller than any); of rows that repeat that doc_id exactly one stays. ``group_size``
-    counts rows. An empty table gives an empty result; other input columns are ignored.
+    counts rows. Long texts are cut into chunks of ``MAX_CHUNK`` characters at most. An empty table gives an empty
+    result; other input columns are ignored.
+
+    Recipes are compared once, in the grouping, which starts before the exchange; a group's decision travels back to its rows by
+    key and digest, and that of a group with very many rows by broadcast.
     """
+    return _decided(docs, doc_id, text).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "n_chunks")
+
+
+def _decided(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = _with_verified_ids(recipes(docs, doc_id, text)).withColumn("key", F.xxhash64("recipe"))
     best = F.max(F.struct("doc_id", "uid"))
-    groups = rows.groupBy("key", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    joined = rows.join(groups, ["key", "recipe"], "left")
+    groups = rows.groupBy("key", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("n"), F.min("text_sha256").alias("text_sha256")).filter("n > 1")
+    slim = rows.select("uid", "doc_id", "key", "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
+    joined = skew_join(slim, checkpoint(groups.select("key", "text_sha256", "best", "n")), ["key", "text_sha256"], "n")
     alone = F.col("n").isNull()
     return joined.select(
         "doc_id",
@@ -72,17 +84,29 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("best.uid") == F.col("uid"))).alias("kept"),
         "text_sha256",
-        F.size("recipe").cast("long").alias("n_chunks"),
+        "n_chunks",
     )
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of rows with one doc_id and text, one."""
-    decided = checkpoint(exact_dedup(docs, doc_id, text).select("doc_id", "text_sha256", "kept"))
-    kept = decided.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    left = rows.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi")
-    repeats = decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null counts as empty text and one such row stays; of rows with one doc_id and text (or no doc_id, if no copy has one), one stays. Long
+    texts count whole. An empty table gives an empty table. Texts stay where they are: the dropped (doc_id, digest) pairs
+    go to them by broadcast, as long as these are ``BROADCAST_ROWS`` at most, and by a join beyond.
+    """
+    flags = checkpoint(_decided(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    digest, gone_id, gone_sha = free_names(docs, "digest", "gone_id", "gone_sha")
+
+    def there(found: DataFrame):
+        named = found.select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha))
+        few = found.count() <= BROADCAST_ROWS
+        return F.broadcast(named) if few else named, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_sha))
+
+    rows = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    left = rows.join(*there(flags.filter("NOT kept")), "left_anti")
+    repeats = flags.filter("kept AND n > 1")
     if not repeats.isEmpty():
-        left = left.dropDuplicates([doc_id, "__key"])
-    return left.drop("__key")
+        seen = there(repeats)
+        left = left.join(*seen, "left_anti").unionByName(left.join(*seen, "left_semi").dropDuplicates([doc_id, digest]))
+    return left.drop(digest)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm._common import ASCII_SPACE, ascii_lower
+from glossa.functions.lineage import skew_join
+from glossa.llm._common import ASCII_SPACE, ascii_lower, checkpoint
 
 MIN_POINTS, MIN_DOCS = 20, 3
 
@@ -30,18 +31,18 @@ def line_dedup(
     A text is split at ``\\n``; null or empty is one empty line. Keys of at least ``min_points`` code points that occur
     in at least ``min_docs`` different doc_ids lose their lines everywhere but in the largest doc_id that holds
     them, where all of them stay. Rows that repeat a doc_id are one document when documents are counted and each get
-    a result row by its own lines; a row with a null doc_id takes no part in the counting and keeps its lines. An
-    empty table gives an empty result; other columns are ignored.
+    a result row by its own lines; a row with a null doc_id takes no part in the counting and keeps its lines. Long
+    texts count whole. An empty table gives an empty result; other columns are ignored.
 
-    Lines are hashed before any exchange, (line, document) pairs are made distinct before they are counted, and the
-    texts move once, to meet the positions of their dropped lines.
+    Lines are hashed once and the hashes written; (line, document) pairs are made distinct before they are counted; a line of very
+    many documents meets them by broadcast; and the texts move once, to meet the positions of their dropped lines.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("body"), F.xxhash64(body).alias("fp"))
-    lines = _hashed(rows.filter(F.col("doc_id").isNotNull()), min_points)
+    lines = checkpoint(_hashed(rows.filter(F.col("doc_id").isNotNull()), min_points))
     once = lines.select("h1", "h2", "doc_id").distinct()
     often = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("owner")).filter(F.col("n") >= min_docs)
-    drop = lines.join(often, ["h1", "h2"]).filter(F.col("doc_id") != F.col("owner"))
+    drop = skew_join(lines, checkpoint(often), ["h1", "h2"], "n", "inner").filter(F.col("doc_id") != F.col("owner"))
     drops = drop.groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("drop"))
     held = rows.join(drops, ["doc_id", "fp"], "left").select("doc_id", F.split("body", "\n", -1).alias("raw"), "drop")
     left = F.array_except(F.sequence(F.lit(0), F.size("raw") - 1), F.col("drop"))

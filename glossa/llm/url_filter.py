@@ -13,14 +13,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm._common import ascii_lower
+from glossa.functions.lineage import skew_join
+from glossa.llm._common import ascii_lower, checkpoint
 
 N_BITS = 4
 BITS_PER_KEY = 16
-#: The filter is broadcast, so it never has more blocks than this (8 MB); longer lists make it denser, not larger.
-MAX_BLOCKS = 1 << 20
-#: Path lengths of a list beyond this many are refused: each multiplies the keys tested per URL.
-MAX_PATH_LENGTHS = 64
+#: A filter of up to this many blocks is broadcast (16 bytes a block, and the overhead of a hash table); a larger one is joined.
+BROADCAST_BLOCKS = 1 << 17
+#: A list of up to this many entries is broadcast to the exact hash join; a larger one is shuffled to it.
+BROADCAST_ENTRIES = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -46,13 +47,15 @@ def _mask(key: Column) -> Column:
 
 def bloom_filter(keys: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
     """Blocks (block, bits) of the filter, and how many blocks there may be."""
-    n_blocks = max(1, min(MAX_BLOCKS, n_keys * BITS_PER_KEY // 64 + 1))
+    n_blocks = max(1, n_keys * BITS_PER_KEY // 64 + 1)
     return keys.groupBy(_block(F.col(key), n_blocks).alias("block")).agg(F.bit_or(_mask(F.col(key))).alias("bits")), n_blocks
 
 
 def listed(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:
     """A list (verdict, host, path) as a DataFrame."""
-    return spark.createDataFrame(entries, "verdict string, host string, path string")
+    names = ("verdict", "host", "path")
+    rows = F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(names, e, strict=True)]) for e in entries])
+    return spark.range(1).select(F.inline(rows.cast("array<struct<verdict: string, host: string, path: string>>")))
 
 
 def url_filter(
@@ -63,31 +66,31 @@ def url_filter(
     entries: verdict, host, path, one row per (host, path); of repeated entries the smallest verdict counts. The longest is
     the one with the longest host, then the longest path. A null URL, or one without ``://``, has an empty host and
     path and fits nothing but an entry with an empty host and a path of that kind. Repeated pages each get their
-    row; an empty table or an empty list is fine; other columns are ignored.
+    row; an empty table or an empty list is fine; other columns are ignored. Long URLs count whole: of a host only the suffixes
+    with as many labels as some entry are made, of a path only the prefixes as long as some entry's.
     """
     want = entries.filter(F.col("host").isNotNull() & F.col("path").isNotNull())
     want = want.groupBy("host", "path").agg(F.min("verdict").alias("entry_verdict")).withColumn("key", F.concat_ws("\x00", "host", "path"))
-    sizes = want.groupBy(F.char_length("path").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy("n").limit(MAX_PATH_LENGTHS + 1).collect()
-    if len(sizes) > MAX_PATH_LENGTHS:
-        raise ValueError(f"the list has paths of more than {MAX_PATH_LENGTHS} lengths")
-    blocks, n_blocks = bloom_filter(want, "key", sum(r["c"] for r in sizes))
+    labels = F.char_length("host") - F.char_length(F.replace("host", F.lit("."))) + 1
+    shape = want.agg(F.count(F.lit(1)), F.sort_array(F.collect_set(F.char_length("path"))), F.sort_array(F.collect_set(labels))).first()
+    blocks, n_blocks = bloom_filter(want, "key", shape[0])
 
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    labels = F.split("host", "\\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
-    lengths = F.array(*[F.lit(r["n"]) for r in sizes]).cast("array<int>")
-    lengths = F.filter(lengths, lambda n: n <= F.char_length("path"))
+    counts = F.filter(F.array(*[F.lit(k) for k in shape[2]]).cast("array<int>"), lambda k: k <= labels)
+    suffixes = F.transform(counts, lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
+    lengths = F.filter(F.array(*[F.lit(n) for n in shape[1]]).cast("array<int>"), lambda n: n <= F.char_length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda n: F.concat_ws("\x00", s, F.substring(F.col("path"), 1, n)))))
-    places = rows.select("host", "path").distinct()
-    asked = places.select("host", "path", F.explode(keys).alias("key"))
+    rows = checkpoint(rows)
+    places = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    asked = places.select("host", "path", "n", F.explode(keys).alias("key"))
     asked = asked.withColumn("block", _block(F.col("key"), n_blocks)).withColumn("mask", _mask(F.col("key")))
-    possible = asked.join(F.broadcast(blocks), "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("mask"))
+    possible = asked.join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "block").filter(F.col("mask").bitwiseAND(F.col("bits")) == F.col("mask"))
     exact = want.select("key", "entry_verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
-    hits = possible.join(exact, "key")
+    hits = possible.join(F.broadcast(exact) if shape[0] <= BROADCAST_ENTRIES else exact.hint("shuffle_hash"), "key")
     order = F.struct(F.char_length("rule_host"), F.char_length("rule_path"))
-    best = hits.groupBy("host", "path").agg(
+    best = hits.groupBy("host", "path", "n").agg(
         F.max(F.struct(order.alias("o"), F.concat("rule_host", "rule_path").alias("rule"), F.col("entry_verdict").alias("v"))).alias("best")
     )
-    return rows.join(best, ["host", "path"], "left").select(
+    return skew_join(rows, checkpoint(best), ["host", "path"], "n").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict")
     )

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 #: Names that the operators use inside; as extra input columns they must not matter.
-CLASHING = ["body", "key", "n", "h", "uid", "pos", "chunks", "batch", "token", "p", "score", "raw", "drop", "fp", "size", "copies", "q", "rank", "held_out", "g", "u", "tokens", "kept"]
+CLASHING = ["body", "key", "n", "h", "uid", "pos", "chunks", "batch", "token", "p", "score", "raw", "drop", "fp", "size", "copies", "q", "rank", "held_out", "g", "u", "tokens", "kept", "__key", "__rows", "__id", "__gone", "__copies", "__copy", "__sha", "__alone", "row", "digest", "gone_id", "gone_sha", "gone_key", "alone", "copy", "numbered", "id"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
