@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -101,7 +102,11 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=2)
+def _edges(n: int) -> np.ndarray:
+    return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+
+
 def parts(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     """n + 1 cuts of ascending uint64 hashes into n equal ranges of values."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
+    return np.concatenate([[0], np.searchsorted(sorted_hashes, _edges(n)), [len(sorted_hashes)]])

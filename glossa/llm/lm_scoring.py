@@ -6,11 +6,17 @@ deleted from the counts and predicted from the rest. Counts are over all trainin
 
 Batches of documents send their different words and word pairs, with training counts, to the partition that owns the
 hash range, which adds them up and answers each batch; no table of counts is ever broadcast or collected. The driver
-sees one histogram of held-out probability ratios, in cells of an eighth of an octave, for the weights.
+sees one histogram of held-out probability ratios for the weights: at most BUCKETS x 128 x 128 cells of half an octave,
+each with the means of its ratios, however large the corpus is.
+
+The documents themselves go past that exchange, from a second scan. Both scans sign each batch. Should they have cut the
+rows differently (an input that isn't stored, rows that a lost executor's retry reordered), the signatures differ; the rows are then
+written to the shared folder, and the work is done again on what is written.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +28,7 @@ from glossa.llm._arrays import filled, give_back, hash_strings, mix64, pack, pac
 from glossa.llm._common import checkpoint, shuffle_partitions
 
 #: Histogram cells per octave, and the code of probability zero.
-FINE, ZERO = 8, -4096
+FINE, ZERO = 2, -4096
 BUCKETS = 64
 ROUNDS = 60
 #: Text bytes per batch: the larger, the fewer repeats of a pair are sent.
@@ -54,7 +60,9 @@ def _pairs(token: np.ndarray, per_doc: np.ndarray, h: np.ndarray) -> tuple[np.nd
 
 _NAMES = ["p", "batch", "kind", "a", "b"]
 _SENT = "p int, batch long, kind int, a binary, b binary"
-META, WORD, PAIR, TOTAL = 0, 1, 2, 3
+META, WORD, PAIR, TOTAL, SIGN = 0, 1, 2, 3, 4
+#: What the job's error says when two scans were cut differently.
+CUT = "two scans of the documents were cut differently"
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
@@ -70,6 +78,13 @@ def _batches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         yield (batch.column("part")[0].as_py() << 32) + serial, batch, batch.column("held_out").to_numpy(zero_copy_only=False), *_numbered(batch)
 
 
+def _signature(batch: pa.RecordBatch) -> bytes:
+    """Of a batch's documents and texts, in order."""
+    text = filled(batch.column("text"))
+    ids = batch.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy().tobytes()
+    return b"".join(zlib.crc32(b"\0".join(x)).to_bytes(4, "little") for x in ([ids], text.cast(pa.binary()).to_pylist()))
+
+
 def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per batch: its documents, its words' hashes and its tokens."""
     for number, batch, held, token, per_doc, h in _batches(batches):
@@ -79,14 +94,15 @@ def _documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.empty(len(h), np.int64)
         short[often] = np.arange(len(h))
         meta = b"".join(x.tobytes() for x in (np.array([len(per_doc), len(h)], "<u8"), *about, h[often].astype("<u8")))
-        yield _record([(0, number, META, meta, pack(short[token]))])
+        yield _record([(0, number, META, _signature(batch) + meta, pack(short[token]))])
 
 
 def _sent(n_parts: int):
     """Batches of documents -> their different words and pairs with training counts, by owner of the hash range."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, held, token, per_doc, h in _batches(batches):
+        for number, batch, held, token, per_doc, h in _batches(batches):
+            yield _record([(number % n_parts, number, SIGN, _signature(batch), None)])
             train = ~np.repeat(held, per_doc)
             pair, at = _pairs(token, per_doc, h)
             for kind, key, count in (
@@ -94,7 +110,8 @@ def _sent(n_parts: int):
                 (PAIR, pair, np.bincount(at[train], minlength=len(pair))),
             ):
                 cuts = parts(key, n_parts)
-                yield _record([(p, number, kind, pack_sorted(key[a:b]), pack(count[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                yield _record([(p, number, kind, pack_sorted(key[cuts[p] : cuts[p + 1]]), pack(count[cuts[p] : cuts[p + 1]])) for p in some])
 
     return run
 
@@ -106,6 +123,9 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p, b, kind, x, y in zip(*(batch.column(c).to_pylist() for c in _NAMES), strict=True):
             part = p
+            if kind == SIGN:
+                yield _record([(p, b, SIGN, x, None)])
+                continue
             asked[kind].append((b, unpack_sorted(x), unpack(y)))
     for kind, lists in asked.items():
         if not lists:
@@ -139,15 +159,18 @@ def _assembled(table: pa.Table) -> pa.Table:
     if rows[0]["kind"] == TOTAL:
         n, v = np.frombuffer(rows[0]["a"], "<u8")
         return pa.table([pa.array([int(n)]), pa.array([int(v)]), *(pa.array([None], pa.binary()) for _ in range(3))], names=names)
-    meta = next(r for r in rows if r["kind"] == META)
-    docs, vocabulary = (int(x) for x in np.frombuffer(meta["a"], "<u8", 2))
-    values = np.frombuffer(meta["a"], "<u8", offset=16)
+    meta, sign = ([r for r in rows if r["kind"] == k] for k in (META, SIGN))
+    if len(meta) != 1 or len(sign) != 1 or meta[0]["a"][:8] != sign[0]["a"]:
+        raise RuntimeError(CUT)
+    meta = meta[0]
+    docs, vocabulary = (int(x) for x in np.frombuffer(meta["a"], "<u8", 2, offset=8))
+    values = np.frombuffer(meta["a"], "<u8", offset=24)
     about, h = values[: 4 * docs].reshape(4, docs), values[4 * docs : 4 * docs + vocabulary]
     token = unpack(meta["b"]).astype(np.int64)
     count = {kind: np.concatenate([unpack(r["b"]) for r in rows if r["kind"] == kind]) for kind in (WORD, PAIR)}
     pair, at = _pairs(token, about[3].astype(np.int64), h)
     if len(count[WORD]) != vocabulary or len(count[PAIR]) != len(pair):
-        raise RuntimeError("two scans of the documents were cut differently; run again")
+        raise RuntimeError(CUT)
     of_word = np.empty(vocabulary, np.uint64)
     of_word[np.argsort(h, kind="stable")] = count[WORD]
     blobs = (about.tobytes(), pack(of_word[token]), pack(count[PAIR][at]))
@@ -172,9 +195,11 @@ def bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _held_out_counts(n: int, v: int):
-    def cell(p: np.ndarray) -> np.ndarray:
+    """Histogram cells (cell, count, r2, r1) of the training tokens, each predicted without itself; r2 and r1 are sums of ratios to uniform."""
+
+    def cell(ratio: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            return np.where(p > 0, np.round(FINE * np.log2(np.where(p > 0, p, 1) * (v + 1))), ZERO).astype(np.int64)
+            return np.where(ratio > 0, np.floor(FINE * np.log2(np.where(ratio > 0, ratio, 1))), ZERO).astype(np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,18 +207,24 @@ def _held_out_counts(n: int, v: int):
                 _, _, held, per_doc, word, context, pair = _counts(*blobs)
                 train = ~np.repeat(held.astype(bool), per_doc)
                 word, context, pair = word[train] - 1, context[train] - 1, pair[train] - 1
-                p2, p1 = np.where(context > 0, pair / np.maximum(context, 1), 0), word / max(1, n - 1)
-                keys = np.stack([bucket(context), cell(p2), cell(p1)], 1)
-                code, count = np.unique((keys[:, 0] << 32) + ((keys[:, 1] + 8192) << 16) + keys[:, 2] + 8192, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(count.astype(np.int64))], names=["cell", "count"])
+                r2, r1 = np.where(context > 0, pair / np.maximum(context, 1), 0) * (v + 1), word / max(1, n - 1) * (v + 1)
+                code = (bucket(context) << 32) + ((cell(r2) + 8192) << 16) + cell(r1) + 8192
+                found, at, count = np.unique(code, return_inverse=True, return_counts=True)
+                sums = (np.bincount(at, r, minlength=len(found)) for r in (r2, r1))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64)), *map(pa.array, sums)], names=["cell", "count", "r2", "r1"])
 
     return run
 
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Weights (bucket x pair, word, uniform) by expectation-maximisation on a histogram of held-out tokens."""
+def learn_weights(cells: np.ndarray, counts: np.ndarray, ratios: np.ndarray | None = None) -> np.ndarray:
+    """Weights (bucket x pair, word, uniform) by expectation-maximisation on a histogram of held-out tokens.
+
+    ratios: the mean ratios of each cell to the uniform probability (pair, word); None: the cells' lower edges.
+    """
     where, c2, c1 = cells >> 32, ((cells >> 16) & 0xFFFF) - 8192, (cells & 0xFFFF) - 8192
-    ratio = np.stack([np.where(c == ZERO, 0.0, np.exp2(c / FINE)) for c in (c2, c1)] + [np.ones(len(cells))], 1)
+    if ratios is None:
+        ratios = np.stack([np.where(c == ZERO, 0.0, np.exp2(c / FINE)) for c in (c2, c1)], 1)
+    ratio = np.concatenate([ratios, np.ones((len(cells), 1))], 1)
     weights = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
     prior = np.array([0.4, 0.5, 0.1])  # one token's worth, so that no weight becomes zero
     for _ in range(ROUNDS):
@@ -204,6 +235,15 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _assembled_batches(rows: DataFrame) -> DataFrame:
+    """Totals, and the batches with their counts."""
+    n_parts = shuffle_partitions(rows)
+    sent = rows.mapInArrow(_sent(n_parts), _SENT)
+    counted = sent.repartitionById(n_parts, "p").mapInArrow(_counted, _SENT)
+    answered = counted.unionByName(rows.mapInArrow(_documents, _SENT))
+    return checkpoint(answered.groupBy("batch").applyInArrow(_assembled, _JOINED))
+
+
 def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per input row; learns where ``held_out`` is not true.
 
@@ -211,19 +251,23 @@ def lm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: s
     pairs are told apart by 64-bit hashes. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) over the tokens, with c the token's
     count, N all and V the different tokens of the training texts; score is the model's log10 probability. Held out
     null counts as true. Without training texts the model is the uniform one. Repeated rows count and are scored
-    each; an empty table gives an empty result; other columns are ignored.
+    each; an empty table gives an empty result; other columns are ignored. Long texts count whole, each as a batch of its own
+    beyond ``SLICE`` bytes, with about thirty times its size in arrays.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.spark_partition_id().alias("part"))
-    n_parts = shuffle_partitions(rows)
-    sent = rows.mapInArrow(_sent(n_parts), _SENT)
-    counted = sent.repartitionById(n_parts, "p").mapInArrow(_counted, _SENT)
-    answered = counted.unionByName(rows.mapInArrow(_documents, _SENT))
-    joined = checkpoint(answered.groupBy("batch").applyInArrow(_assembled, _JOINED))
+    try:
+        joined = _assembled_batches(rows)
+    except Exception as error:
+        if CUT not in str(error):
+            raise
+        joined = _assembled_batches(checkpoint(rows))
     n, v = joined.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     batches = joined.filter("about IS NOT NULL").select("about", "words", "pairs")
-    cells = batches.mapInArrow(_held_out_counts(n, v), "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
+    sums = [F.sum(c).alias(c) for c in ("count", "r2", "r1")]
+    cells = batches.mapInArrow(_held_out_counts(n, v), "cell long, count long, r2 double, r1 double").groupBy("cell").agg(*sums).toPandas()
     cells = cells.sort_values("cell")
-    weights = learn_weights(cells["cell"].to_numpy(np.int64), cells["count"].to_numpy(float))
+    count = cells["count"].to_numpy(float)
+    weights = learn_weights(cells["cell"].to_numpy(np.int64), count, cells[["r2", "r1"]].to_numpy(float) / count[:, None])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from glossa.llm import jaccard_join as jj
+from glossa.llm import lm_scoring as lm
 from glossa.llm._arrays import mix64, pack, pack_sorted, parts, unpack, unpack_sorted, words
 from glossa.functions.lineage import components
 from glossa.llm.jaccard_join import Region, drop_similar, jaccard_join, jaccard_links
@@ -196,3 +197,84 @@ def test_weights_follow_the_held_out_counts():
     cell = lambda b, c2, c1: (b << 32) + ((c2 + 8192) << 16) + c1 + 8192
     w = learn_weights(np.array([cell(3, 80, 8), cell(5, -4096, 40)]), np.array([1000.0, 1000.0]))
     assert w[3, 0] > 0.9 and w[5, 1] > 0.9 and w.sum(1) == pytest.approx(np.ones(len(w)))
+
+
+def brute_scores(rows, held):
+    """Deleted interpolation by plain loops over tokens."""
+    texts = [[None, *tokens(t), ""] for _, t, *_ in rows]
+    train = [t for (i, *_), t in zip(rows, texts, strict=True) if not held(i)]
+    word = Counter(w for t in train for w in t[1:])
+    pair = Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    n, v = sum(word.values()), len(word)
+    word[None] = word[""]
+    group = lambda c: 0 if c <= 0 else int(math.log2(c)) + 1
+    weights = {}
+    held_out = []
+    for t in train:
+        for a, b in zip(t, t[1:], strict=False):
+            context = word[a] - 1
+            held_out.append((group(context), (pair[a, b] - 1) / context if context else 0.0, (word[b] - 1) / (n - 1), 1 / (v + 1)))
+    for _ in range(60):
+        new = {}
+        for g, *p in held_out:
+            w = weights.get(g, [0.4, 0.5, 0.1])
+            total = sum(x * y for x, y in zip(w, p, strict=True))
+            new.setdefault(g, [0.4, 0.5, 0.1])
+            new[g] = [old + x * y / total for old, x, y in zip(new[g], w, p, strict=True)]
+        weights = {g: [x / sum(w) for x in w] for g, w in new.items()}
+    out = []
+    for (i, *_), t in zip(rows, texts, strict=True):
+        score = 0.0
+        for a, b in zip(t, t[1:], strict=False):
+            w = weights.get(group(word[a]), [0.4, 0.5, 0.1])
+            score += math.log10(w[0] * (pair[a, b] / word[a] if word[a] else 0) + w[1] * word[b] / n + w[2] / (v + 1))
+        out.append((i, len(t) - 1, score))
+    return out
+
+
+def test_scores_against_plain_loops(odd, odd_rows):
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    got = sorted([(r.doc_id, r.n_tokens, r.score) for r in lm_scores(odd, crc).collect()], key=key)
+    want = sorted(brute_scores(odd_rows, held), key=key)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=0.01, abs=0.02)
+
+
+def test_scans_that_differ_are_noticed_and_done_again(spark, monkeypatch):
+    rows = [(i, prose(i, 20), "en", "s") for i in range(50)]
+    want = {(r.doc_id, round(r.score, 6)) for r in lm_scores(documents(spark, rows), F.col("doc_id") == 3).collect()}
+    real, calls = lm._assembled_batches, []
+
+    def other(found):
+        calls.append(found)
+        # the first try sees rows in another order in each scan
+        return real(found.orderBy(F.rand()) if len(calls) == 1 else found)
+
+    monkeypatch.setattr(lm, "_assembled_batches", other)
+    got = {(r.doc_id, round(r.score, 6)) for r in lm_scores(documents(spark, rows), F.col("doc_id") == 3).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("partitions", ["4", "400"])
+def test_results_do_not_depend_on_the_number_of_partitions(spark, odd, odd_rows, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert result(jaccard_join(odd)) == brute_components(odd_rows)
+        got = sorted((r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(odd, F.col("doc_id") % 5 == 1).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted((r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_scores(odd, F.col("doc_id") % 5 == 1).collect())
+
+
+def test_cells_part_a_dense_region(spark, monkeypatch):
+    monkeypatch.setattr(jj, "REGION", 24)
+    monkeypatch.setattr(jj, "CELLS", 4)
+    rows = families(1, 220, 11, 9) + families(1, 120, 12, 25)
+    assert result(jaccard_join(documents(spark, rows))) == brute_components(rows)
+
+
+def test_stages_on_an_empty_table(none):
+    out = drop_similar(none)
+    assert out.columns == none.columns and out.collect() == []
