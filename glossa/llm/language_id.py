@@ -2,7 +2,8 @@
 
 A text is the TF-IDF vector of its hashed character 1- to 3-grams, of unit length. Each language has several centroids, the
 spherical k-means clusters of its sampled texts, and a text gets the language of the centroid with the largest
-cosine. A text whose distance (1 - cosine) exceeds ``reject_above`` is rejected.
+cosine. Each centroid has a reach: the largest distance (1 - cosine) of the sampled texts that it won, with a margin. A text beyond the
+reach of its nearest centroid, or beyond a given distance, is rejected: it is like none of the texts learned from.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from glossa.llm._arrays import filled, slices
 
 DIM = 4096
 CLUSTERS = 5
-#: Texts per language that the centroids are fitted on, those with the smallest hashes of their ids.
-MAX_PER_LANGUAGE = 600
-MAX_LANGUAGES = 1000
+#: Texts that the centroids are fitted on, those with the smallest hashes of their ids: per language, and of all languages, which share them alike.
+MAX_PER_LANGUAGE, MAX_TEXTS = 600, 24_000
+#: A reach is the largest distance among the texts won, and this share of what is left to 1.
+MARGIN = 0.25
 UNKNOWN = "und"
 
 
@@ -70,33 +72,34 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 class Model:
-    """idf, centroids and the language of each centroid."""
+    """idf, centroids, and the language and the reach of each centroid."""
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: list[str], fallback: str | None) -> None:
-        self.idf, self.centroids, self.owner, self.fallback = idf.astype(np.float32), centroids.astype(np.float32), owner, fallback
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: list[str], reach: np.ndarray) -> None:
+        self.idf, self.centroids, self.owner, self.reach = idf.astype(np.float32), centroids.astype(np.float32), owner, reach
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine and whether the text lies beyond the centroid's reach."""
         counts, has = ngram_counts(texts)
         cosine = unit(np.log1p(counts) * self.idf) @ self.centroids.T if len(self.owner) else np.zeros((len(texts), 1))
         best = np.argmax(cosine, axis=1)
         names = [(self.owner[b] if self.owner else UNKNOWN) if h else UNKNOWN for b, h in zip(best, has, strict=True)]
-        return names, np.where(has, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+        score = np.where(has, np.clip(cosine[np.arange(len(texts)), best], 0, 1), 0.0)
+        return names, score, ~has | (1 - score > (self.reach[best] if len(self.owner) else 0.0))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = CLUSTERS) -> Model:
-    """Learns from the rows of ``docs`` with a lang and a text, ``MAX_PER_LANGUAGE`` of each language at most."""
+    """Learns from the rows of ``docs`` with a lang and a text: of each language as many as ``MAX_PER_LANGUAGE`` and ``MAX_TEXTS`` allow, one at least."""
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = known.groupBy("lang").count().collect()
+    most = min(MAX_PER_LANGUAGE, max(1, MAX_TEXTS // max(1, len(counts))))
     # a share of each language by hash first, so that the ranking sees a bounded number of rows
     h = F.xxhash64(F.lit("language"), "doc_id", "text")
-    share = {r["lang"]: min(1.0, 1.5 * MAX_PER_LANGUAGE / r["count"] + 20 / r["count"]) for r in counts}
+    share = {r["lang"]: min(1.0, 1.5 * most / r["count"] + 20 / r["count"]) for r in counts}
     if not share:
-        return Model(np.zeros(DIM), np.zeros((0, DIM)), [], None)
+        return Model(np.zeros(DIM), np.zeros((0, DIM)), [], np.zeros(0))
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
     drawn = known.withColumn("h", h).filter((F.col("h") / float(1 << 64) + 0.5) <= limit)
-    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= MAX_PER_LANGUAGE)
+    drawn = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= most)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 19):
@@ -107,7 +110,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = drawn.select("lang", "h", "text").mapInArrow(run, "lang string, h long, ok boolean, cells binary").filter("ok").toPandas()
     rows = rows.sort_values(["lang", "h", "cells"], ignore_index=True)
     if rows.empty:
-        return Model(np.zeros(DIM), np.zeros((0, DIM)), [], None)
+        return Model(np.zeros(DIM), np.zeros((0, DIM)), [], np.zeros(0))
     x = np.frombuffer(b"".join(rows["cells"]), "<u2").reshape(len(rows), DIM).astype(np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
     x = unit(np.log1p(x) * idf.astype(np.float32))
@@ -116,7 +119,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         c = spherical_kmeans(x[group.index], clusters)
         centroids.append(c)
         owner += [str(name)] * len(c)
-    return Model(idf, np.concatenate(centroids), owner, str(rows["lang"].mode()[0]))
+    every = np.concatenate(centroids)
+    cosine = x @ every.T.astype(np.float32)
+    won = np.argmax(cosine, axis=1)
+    far = np.zeros(len(every))
+    np.maximum.at(far, won, 1 - cosine[np.arange(len(x)), won])
+    return Model(idf, every, owner, far + MARGIN * (1 - far))
 
 
 def language_id(
@@ -125,15 +133,17 @@ def language_id(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    reject_above: float = 1.0,
+    reject_above: float | None = None,
     clusters: int = CLUSTERS,
+    keep_rejected: bool = False,
 ) -> DataFrame:
-    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1), distance, per input row.
+    """doc_id, lang_pred, score (cosine to the nearest centroid, 0 to 1), distance, rejected, per input row.
 
-    Learns only from rows where ``learn_from`` holds and both lang and text are not null. A null or empty text, one without
-    a letter (Unicode), or one farther than ``reject_above`` from every centroid is ``und`` (with score 0 in the
-    first two cases). Ties go to the language that sorts first. Whole texts count. Without any row to learn
-    from all are ``und``; repeated rows get the same answer; an empty table gives an empty result.
+    Learns only from rows where ``learn_from`` holds and both lang and text are not null. A null or empty text, or one without
+    a letter (Unicode), is rejected with score 0, and so is with its score a text beyond the reach of its nearest centroid, or
+    farther than ``reject_above`` if that is given. What is rejected is ``und``; with ``keep_rejected`` a text with letters has its
+    nearest language all the same. Ties go to the language that sorts first. Whole texts count. Without any row to learn
+    from all are ``und``; repeated rows get the same answer; an empty table gives an empty result; other columns are ignored.
     """
     model = fit(docs.filter(learn_from), doc_id, text, lang, clusters)
 
@@ -141,13 +151,15 @@ def language_id(
         for batch in slices(batches, most=1 << 19):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                names, score = model.predict(filled(part.column("text")).to_pylist())
-                names = [UNKNOWN if 1 - s > reject_above else x for x, s in zip(names, score, strict=True)]
+                names, score, beyond = model.predict(filled(part.column("text")).to_pylist())
+                rejected = beyond if reject_above is None else (score == 0) | (1 - score > reject_above)
+                if not keep_rejected:
+                    names = [UNKNOWN if r else x for x, r in zip(names, rejected, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(1 - score, pa.float64())],
-                    names=["doc_id", "lang_pred", "score", "distance"],
+                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(1 - score, pa.float64()), pa.array(rejected)],
+                    names=["doc_id", "lang_pred", "score", "distance", "rejected"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, distance double")
+    return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, distance double, rejected boolean")

@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm._arrays import filled, hash_strings, owner, pack, slices, unpack, words
+from glossa.llm._common import checkpoint
 
-#: Bounds of the fitted sample: positive texts, unlabelled texts, features (those in most positives).
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 9000, 60_000
+#: Bounds of the fitted sample: positive texts, unlabelled texts.
+MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_DOCUMENTS = 2
 #: A feature's share in confirmed texts over its share in unlabelled ones must surely exceed RATIO, or this power of the largest ratio there can be.
 RATIO, POWER = 4, 0.63
@@ -63,18 +64,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def telling(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> np.ndarray:
-    """Features surely much more frequent in confirmed than in unlabelled texts, by a bound two deviations down.
+def least_evidence(prior: float) -> float:
+    """The log ratio of shares that a feature must surely exceed.
 
     A share ``prior`` of the unlabelled texts is toxic too, so that no ratio of the two shares exceeds 1 / prior. Required is a ratio of
     min(RATIO, prior ** -POWER): at any prior from 0.01 to 0.4, 3.7 to 6.4 times the feature's share in non-toxic texts.
     """
-    n = [np.zeros(n_features), np.zeros(n_features)]
-    for r, y in zip(rows, positive, strict=True):
-        n[y][np.unique(r)] += 1
-    share = [(x + 0.5) / (max(1, (positive == y).sum()) + 1) for y, x in enumerate(n)]
-    bound = np.log(share[1] / share[0]) - 2 * np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-    return np.flatnonzero(bound > min(np.log(RATIO), -POWER * np.log(prior)))
+    return float(min(np.log(RATIO), -POWER * np.log(prior)))
+
+
+def evidence(n_positive: Column, n_unlabelled: Column, positives: int, unlabelled: int) -> Column:
+    """Log ratio of a feature's shares in confirmed and in unlabelled texts, two standard deviations down."""
+    share = lambda n, total: (n + 0.5) / (max(1, total) + 1)
+    deviation = F.sqrt(1 / (n_positive + 0.5) + 1 / (n_unlabelled + 0.5))
+    return F.log(share(n_positive, positives) / share(n_unlabelled, unlabelled)) - 2 * deviation
 
 
 def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float) -> tuple[np.ndarray, float]:
@@ -96,9 +99,9 @@ def train_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, pr
         step = np.append(np.bincount(flat, g[doc], minlength=n_features) + DECAY * w, g.sum())
         mean, square = 0.9 * mean + 0.1 * step, 0.999 * square + 0.001 * step**2
         move = RATE * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    # a text that shows no feature is no likelier toxic than the prior says
-    return w, min(bias, float(np.log(prior / (1 - prior))))
+        # a projected step: a text that shows no feature is no likelier toxic than the prior says
+        w, bias = w - move[:-1], min(bias - move[-1], float(np.log(prior / (1 - prior))))
+    return w, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -112,17 +115,30 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "d
     order = F.xxhash64(F.lit("positive"), "doc_id")
     chosen = marked.filter("y = 1").orderBy(order, "doc_id").limit(MAX_POSITIVE).select("doc_id")  # bounded, so it may be broadcast
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter(learn_from)
-    positives = rows.join(F.broadcast(chosen), "doc_id")
+    fp = F.xxhash64("text")
+    positives = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit("row"), "doc_id", fp), "doc_id", fp).limit(2 * MAX_POSITIVE)
+    # a share by hash first, so that few rows are ordered; ordered, so that reruns take the same
+    h = F.xxhash64(F.lit("unlabelled"), "doc_id")
+    share = 0.95 * MAX_UNLABELLED / max(1, rows.count())
+    unlabelled = rows.filter(h / float(1 << 64) + 0.5 <= share).orderBy(h, "doc_id", fp).limit(MAX_UNLABELLED)
+    sample = checkpoint(positives.withColumn("y", F.lit(1)).unionByName(unlabelled.withColumn("y", F.lit(0))).repartition(32, fp))
+    texts_of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            doc, word, unique = _document_words(batch)
-            pairs = np.concatenate([np.stack([doc.astype(np.uint64), h[word]], 1) for h in word_features(unique)])
-            keys, count = np.unique(np.unique(pairs, axis=0)[:, 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count.astype(np.int64))], names=["f", "n"])
-
-    found = positives.select("text").mapInArrow(features, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
-    keys = np.sort(found.orderBy(F.desc("n"), "f").limit(MAX_FEATURES).toPandas()["f"].to_numpy().view(np.uint64))
+        for batch in batches:
+            y = batch.column("y").to_numpy()
+            for kind in np.unique(y):
+                for part in slices([batch.filter(pa.array(y == kind))]):
+                    doc, word, unique = _document_words(part)
+                    pairs = np.concatenate([np.stack([doc.astype(np.uint64), h[word]], 1) for h in word_features(unique)])
+                    keys, count = np.unique(np.unique(pairs, axis=0)[:, 1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(keys), kind), keys.view(np.int64), count.astype(np.int64))], names=["y", "f", "n"])
+
+    counted = sample.select("text", "y").mapInArrow(features, "y int, f long, n long").groupBy("f").agg(
+        *[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)]
+    )
+    telling = counted.filter((F.col("n1") >= MIN_DOCUMENTS) & (evidence(F.col("n1"), F.col("n0"), texts_of.get(1, 0), texts_of.get(0, 0)) > least_evidence(prior)))
+    keys = np.sort(telling.select("f").toPandas()["f"].to_numpy(np.int64).view(np.uint64))
 
     def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -136,21 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "d
                     own = at[word[cuts[i] : cuts[i + 1]]]
                     out[i].append(own[own >= 0])
             blobs = [pack(np.concatenate(x)) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(blobs, pa.binary())], names=["y", "f"])
 
-    total = max(1, rows.count())
-    h = F.xxhash64(F.lit("unlabelled"), "doc_id") / float(1 << 64) + 0.5
-    unlabelled = rows.filter(h <= 0.95 * MAX_UNLABELLED / total).limit(MAX_UNLABELLED)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    sets = [x.select("doc_id", "text").mapInArrow(lists, f"doc_id {kind}, f binary").toPandas().sort_values(["doc_id", "f"])["f"] for x in (positives, unlabelled)]
-    texts = [unpack(b).astype(np.int64) for s in sets for b in s]
-    positive = np.repeat([1, 0], [len(s) for s in sets])
-    chosen_features = telling(texts, positive, len(keys), prior)
-    place = np.full(len(keys) + 1, -1)
-    place[chosen_features] = np.arange(len(chosen_features))
-    texts = [t[t >= 0] for t in (place[t] for t in texts)]
-    w, bias = train_nnpu(texts, positive, len(chosen_features), prior)
-    return Model(keys[chosen_features], w, bias)
+    found = sample.select("y", "text").mapInArrow(lists, "y int, f binary").toPandas().sort_values(["y", "f"])
+    texts = [unpack(b).astype(np.int64) for b in found["f"]]
+    w, bias = train_nnpu(texts, found["y"].to_numpy(), len(keys), prior)
+    return Model(keys, w, bias)
 
 
 def scorer(model: Model):
@@ -169,7 +176,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str
     ``learn_from`` is a condition on ``doc_id``: only such rows are learned from, positives by their label and a sample of
     all such texts, without labels, as unlabelled. A doc_id with several labels counts as toxic if one says so. A null or
     empty text gets the score of a text without features. Without a toxic label to learn from all scores are about
-    0. Repeated rows get the same score; an empty table gives an empty result.
+    0. Repeated rows get the same score; an empty table gives an empty result; long texts count whole; other columns are ignored.
+    The fit sees ``MAX_POSITIVE`` positive ids (and at most twice as many of their rows) and ``MAX_UNLABELLED`` texts at most, chosen by hash.
     """
     model = fit(docs, labels, learn_from, doc_id, text, label)
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -178,7 +186,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, all their columns, whatever their names, that score below ``threshold``.
+
+    Scores of nulls, empty and long texts, ties and repeated rows as in ``toxicity``; an empty table gives an empty table.
+    """
     model = fit(docs, labels, learn_from, text=text)
     position = docs.columns.index(text)
 

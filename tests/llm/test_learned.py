@@ -15,7 +15,8 @@ from glossa.llm.ann import Tables, ann_search
 from glossa.llm.language_id import language_id
 from glossa.llm.learned_queries import op1_ann, op4_language_id, op9_toxicity
 from glossa.llm.packing import WordIds, best_fit, pack_sequences
-from glossa.llm.toxicity import drop_toxic, telling, toxicity, train_nnpu
+from glossa.llm import language_id as li
+from glossa.llm.toxicity import drop_toxic, evidence, least_evidence, toxicity, train_nnpu
 from pyspark.sql import functions as F
 from tests.llm.conftest import documents, prose
 
@@ -82,6 +83,8 @@ def test_language_of_odd_texts(spark, odd, none):
     got = {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id(odd, F.lit(True)).collect()}
     by = {d: p for d, p, _ in got}
     assert by[1] == by[2] == by[3] == "und" and by[16] != "und" and all(0 <= s <= 1 for *_, s in got)
+    kept = language_id(odd, F.lit(True), keep_rejected=True).collect()
+    assert all(r.lang_pred != "und" or r.score == 0 for r in kept) and all(r.rejected for r in kept if r.score == 0)
     assert language_id(none, F.lit(True)).collect() == []
     assert {r.lang_pred for r in language_id(odd, F.lit(False)).collect()} == {"und"}
     digits = documents(spark, [(1, "123 ... 45", "en", "a"), (2, "éa", "fr", "a"), (3, "plain words here", "en", "a")])
@@ -97,6 +100,40 @@ def test_a_cut_off_rejects_the_farther_texts_only(spark):
     assert got == {i: "und" if i >= 100 else "en" for i in free}
 
 
+def test_languages_against_plain_loops(spark):
+    """The nearest centroid by dictionaries and loops, from the model's idf and centroids; the centroids by their definition."""
+    texts = [(i, " ".join(["der die das und", "le la les et", "the of and to"][i % 3].split(" ")[j % 4] + str("abc"[j % 3]) for j in range(i, i + 12)), ["de", "fr", "en"][i % 3]) for i in range(60)]
+    docs = documents(spark, [(i, t, lang, "s") for i, t, lang in texts] + [(99, "жук щука 漢字", None, "s")])
+    model = li.fit(docs)
+    counts, _ = li.ngram_counts([t for _, t, _ in texts])
+    df = [sum(c[g] > 0 for c in counts) for g in range(li.DIM)]
+    assert model.idf == pytest.approx([np.log((1 + 60) / (1 + n)) + 1 for n in df], rel=1e-5)
+
+    def vector(c):
+        v = {g: float(np.log1p(c[g]) * model.idf[g]) for g in range(li.DIM) if c[g]}
+        length = sum(x * x for x in v.values()) ** 0.5
+        return {g: x / length for g, x in v.items()}
+
+    vectors = [vector(c) for c in counts]
+    cosine = lambda v, c: sum(x * float(c[g]) for g, x in v.items())
+    for lang in ("de", "fr", "en"):  # each centroid is the unit mean of the texts of its language that are nearest to it
+        own = [c for c, o in zip(model.centroids, model.owner, strict=True) if o == lang]
+        mine = [v for v, (_, _, x) in zip(vectors, texts, strict=True) if x == lang]
+        for k, c in enumerate(own):
+            members = [v for v in mine if max(range(len(own)), key=lambda j: cosine(v, own[j])) == k]
+            if members:
+                mean = np.zeros(li.DIM)
+                for v in members:
+                    for g, x in v.items():
+                        mean[g] += x
+                assert c == pytest.approx(mean / np.linalg.norm(mean), abs=1e-4)
+    got = {r.doc_id: r for r in language_id(docs, F.lit(True)).collect()}
+    for (i, _, _), v in zip(texts, vectors, strict=True):
+        near = [cosine(v, c) for c in model.centroids]
+        assert got[i].lang_pred == model.owner[int(np.argmax(near))] and got[i].score == pytest.approx(max(near), abs=1e-4) and not got[i].rejected
+    assert got[99].rejected and got[99].lang_pred == "und"
+
+
 def test_a_prediction_does_not_depend_on_its_neighbours(spark):
     a = documents(spark, [(i, t, "en", "s") for i, t in enumerate(["alpha beta", "der die das", "alpha beta"])])
     m = {r.doc_id: r.score for r in language_id(a, F.col("doc_id") < 2).collect()}
@@ -181,14 +218,47 @@ def test_toxicity_of_odd_texts(spark, odd, odd_rows, none):
 
 
 @pytest.mark.parametrize(("prior", "marked"), [(0.02, 0.05), (0.2, 0.05), (0.25, 0.05), (1 / 3, 0.07)])
-def test_telling_features_at_any_share_of_toxic_texts(prior, marked):
+def test_telling_features_at_any_share_of_toxic_texts(spark, prior, marked):
     rng = np.random.default_rng(5)
     positive = np.repeat([1, 0], [3000, 9000])
     toxic = (positive == 1) | (rng.random(12000) < prior)
     # 0: in a small part of the toxic texts and in no other; 1: twice as frequent in toxic texts; the others in all texts alike
     share = lambda y: np.array([marked if y else 0.0, 0.2 if y else 0.1, *np.geomspace(0.001, 0.5, 50)])
-    rows = [np.flatnonzero(rng.random(52) < share(y)) for y in toxic]
-    assert telling(rows, positive, 52, prior).tolist() == [0]
+    has = np.array([rng.random(52) < share(y) for y in toxic])
+    counts = [(f, int(has[positive == 1, f].sum()), int(has[positive == 0, f].sum())) for f in range(52)]
+    df = spark.createDataFrame(counts, "f int, n1 long, n0 long")
+    found = df.filter(evidence(F.col("n1"), F.col("n0"), 3000, 9000) > least_evidence(prior)).collect()
+    assert [r.f for r in found] == [0]
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Features, their choice, the training and the scores once more, by sets and loops, from the same sample (all rows)."""
+    bad = ["blarg fool", "you blarg", "zork off blarg", "a zork thing"]
+    rows = [(i, f"{prose(i, 12)} {bad[i % 4]}" if i % 5 == 0 else prose(i, 14), "en", "a") for i in range(400)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, *_ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity(docs, labels, F.lit(True)).collect()}
+    import glossa.llm.toxicity as tox
+
+    edge = tox.EDGES
+    words_of = lambda t: {w.strip(edge).lower() for w in t.lower().split()}
+    features = {i: [f for w in words_of(t) for f in (w, "4" + w[:4], "5" + w[:5])] for i, t, *_ in rows}
+    positives, unlabelled = [i for i, *_ in rows if i % 5 == 0], [i for i, *_ in rows]
+    n1, n0 = ({} for _ in range(2))
+    for ids, n in ((positives, n1), (unlabelled, n0)):
+        for i in ids:
+            for f in set(features[i]):
+                n[f] = n.get(f, 0) + 1
+    prior = len(positives) / len(rows)
+    sure = lambda f: np.log((n1[f] + 0.5) / (len(positives) + 1) / ((n0.get(f, 0) + 0.5) / (len(unlabelled) + 1))) - 2 * np.sqrt(1 / (n1[f] + 0.5) + 1 / (n0.get(f, 0) + 0.5))
+    chosen = sorted(f for f in n1 if n1[f] >= 2 and sure(f) > min(np.log(4), -0.63 * np.log(prior)))
+    at = {f: k for k, f in enumerate(chosen)}
+    lists = [np.array([at[f] for f in features[i] if f in at], np.int64) for ids in (positives, unlabelled) for i in ids]
+    w, bias = train_nnpu(lists, np.repeat([1, 0], [len(positives), len(unlabelled)]), len(chosen), prior)
+    for i, *_ in rows:
+        z = bias + sum(w[at[f]] for f in features[i] if f in at)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    assert bias <= np.log(prior / (1 - prior)) + 1e-9
 
 
 @pytest.mark.parametrize("hot", ["copies", "near copies", "other texts"])
