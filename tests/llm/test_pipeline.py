@@ -46,3 +46,14 @@ def test_run_is_registered(spark):
     assert entry.queries()["pipeline"] is cp.run and [n for n, _ in cp.STAGES][0] == "toxicity"
     got = cp.run(spark, SF)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+@pytest.mark.parametrize("table", ["none", "odd"])
+def test_stages_on_empty_and_odd_tables(spark, request, tmp_path, table):
+    docs = request.getfixturevalue(table)
+    columns, n = docs.columns, docs.count()
+    for name, stage in cp.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert name == "packing" or docs.columns == columns
+        assert (docs.count() == 0) == (n == 0)
