@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import SHORT_FORM, WORD, last_words, occurrences, openings, strip, text_at
+from glossa.functions.lineage import checkpoint
+from glossa.functions.text import SHORT_FORM, WORD, backwards, fold, last_words, occurrences, openings, scan, strip, text_at
 
 SPANS = ["doc_id", "ss", "se", "ls", "le"]
 
@@ -20,7 +21,7 @@ def schwartz_hearst(docs: DataFrame, min_sf: int = 2, max_lf_words: int | None =
     The greedy backward alignment ends at the largest admissible start, so the start is found as the last word start from which
     the characters of the short form follow one another: one greedy pattern instead of a loop.
     """
-    low = (lambda c: c) if case_sensitive else F.lower
+    low = (lambda c: c) if case_sensitive else fold
     keep = "[^A-Za-z0-9]" if ignore_non_alnum else "[^A-Za-z0-9'-]"
     found = F.filter(openings(F.col("text")), lambda x: x["content"].rlike(f"^{SHORT_FORM}$") & (F.length(x["content"]) >= min_sf))
 
@@ -46,9 +47,8 @@ def toy(docs: DataFrame) -> DataFrame:
     found = F.filter(openings(F.col("text")), lambda x: x["content"].rlike(f"^{SHORT_FORM}$"))
 
     def resolve(x: Column) -> Column:
-        back = F.reverse(F.substring(F.col("text"), F.lit(1), x["open"].cast("int")))
-        run = F.regexp_extract(back, r"^\s*([A-Za-z0-9][A-Za-z0-9 -]*[A-Za-z])(?:[^A-Za-z]|$)?", 1)
-        return F.struct(x["open"].alias("open"), x["content"].alias("sf"), F.length(run).alias("n"), F.length(F.regexp_extract(back, r"^\s*", 0)).alias("gap"))
+        piece = lambda k: F.length(backwards(F.col("text"), x["open"], r"^(\s*)([A-Za-z0-9][A-Za-z0-9 -]*[A-Za-z])", k, "[^A-Za-z0-9 -]"))
+        return F.struct(x["open"].alias("open"), x["content"].alias("sf"), piece(2).alias("n"), piece(1).alias("gap"))
 
     rows = docs.select("doc_id", F.explode(F.transform(found, resolve)).alias("r")).select("doc_id", "r.*").filter("n > 0")
     return rows.select(
@@ -109,15 +109,14 @@ def nested_parenthetical(docs: DataFrame, max_words: int = 12) -> DataFrame:
     Depth rises at ``(`` and falls at ``)``, never below zero; it is a running count of the text between parentheses, kept in one fold.
     """
     pieces = F.split(F.col("text"), r"(?=[()])", -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
         opens, closes = F.startswith(p, F.lit("(")), F.startswith(p, F.lit(")"))
         depth = F.when(opens, acc["depth"] + 1).when(closes, F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
-        grown = F.when(opens & (depth >= 2), F.concat(acc["out"], F.array(acc["at"]))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(p)).cast("long").alias("at"), depth.alias("depth"), grown.alias("out"))
+        emitted = F.when(opens & (depth >= 2), F.array(acc["at"])).otherwise(F.array().cast("array<bigint>"))
+        return {"at": (acc["at"] + F.length(p)).cast("long"), "depth": depth}, emitted
 
-    deep = F.aggregate(pieces, start, step, lambda a: a["out"])
+    deep = scan(pieces, "bigint", {"at": F.lit(0).cast("long"), "depth": F.lit(0)}, step)
 
     def resolve(o: Column) -> Column:
         content = F.substring_index(F.expr("substring(text, 1)").substr((o + 2).cast("int"), F.length("text")), ")", 1)
@@ -146,11 +145,12 @@ def table_rows(docs: DataFrame, max_cell: int = 500) -> DataFrame:
 
 def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240) -> DataFrame:
     """doc_id, ss, se, ls, le: lexicon pairs whose raw forms both occur in the text, starts at most ``max_window`` apart."""
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))).alias("token"))
-    tokens = tokens.select("doc_id", F.lower("token").alias("sf_key"))
-    hits = tokens.join(lexicon.select("sf_key", "sf_raw", "lf_raw"), "sf_key").groupBy("doc_id").agg(F.collect_list(F.struct("sf_raw", "lf_raw")).alias("pairs"))
-    # a text meets the list of its pairs once, and leaves before the pairs become rows
-    both = hits.join(docs.select("doc_id", "text"), "doc_id")
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))
+    tokens = docs.select("doc_id", F.explode(F.transform(found, F.lower)).alias("sf_key"))
+    pairs = checkpoint(lexicon.select("sf_key", "sf_raw", "lf_raw"))
+    # tokens meet a small list where they are; only hits, and then only texts with hits, move
+    hits = tokens.join(_small(pairs), "sf_key").groupBy("doc_id").agg(F.collect_list(F.struct("sf_raw", "lf_raw")).alias("pairs"))
+    both = docs.select("doc_id", "text").join(_small(checkpoint(hits)), "doc_id")
     there = F.filter("pairs", lambda p: F.contains(F.col("text"), p["lf_raw"]))
     place = lambda p: F.struct(
         F.length(p["sf_raw"]).alias("k"), F.length(p["lf_raw"]).alias("m"), occurrences(F.col("text"), p["sf_raw"]).alias("so"), occurrences(F.col("text"), p["lf_raw"]).alias("lo")
@@ -161,6 +161,14 @@ def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240)
     return rows.select("doc_id", "ss", _long(F.col("ss") + F.col("k"), "se"), "ls", _long(F.col("ls") + F.col("m"), "le"))
 
 
+#: A side is broadcast up to this many rows, which a count has checked; beyond, it is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def candidate_pipeline(generators: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Candidates of several generators without repeats (the first generator keeps one), and how many each lost."""
     rows = None

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import occurrences, text_at
+from glossa.functions.text import all_occurrences, occurrences, text_at
 
 KEY = ["doc_id", "ss", "se", "ls", "le"]
 
@@ -57,25 +57,44 @@ def pair_one_to_one(pairs: DataFrame, decay: float = 0.05) -> DataFrame:
     return chosen.select(*KEY, _score(decay))
 
 
+def _fused(children: dict[str, DataFrame], policy: str) -> DataFrame:
+    """KEY, child (the first by priority that has the pair), names of all that have it, accepted."""
+    rows = reduce(DataFrame.unionByName, [p.select(*KEY).distinct().withColumn("child", F.lit(n)).withColumn("prio", F.lit(i)) for i, (n, p) in enumerate(children.items())])
+    once = rows.groupBy(*KEY).agg(F.min(F.struct("prio", "child")).alias("m"), F.array_sort(F.collect_set("child")).alias("names"))
+    once = once.select(*KEY, F.col("m.prio").alias("prio"), F.col("m.child").alias("child"), "names")
+    if policy == "retain_all":
+        return once.drop("prio").withColumn("accepted", F.lit(True))
+    fields = ("prio", *KEY[1:], "child", "names")
+    grouped = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
+    kind = "prio:int,ss:bigint,se:bigint,ls:bigint,le:bigint,child:string,names:array<string>,accepted:boolean"
+
+    def step(acc, x):
+        same = lambda a, s, e: (a[s] == x[s]) & (a[e] == x[e])
+        clash = F.exists(acc, lambda a: a["accepted"] & (same(a, "ss", "se") | same(a, "ls", "le")))
+        return F.concat(acc, F.array(F.struct(*[x[c].alias(c) for c in fields], (~clash).alias("accepted"))))
+
+    every = F.aggregate("p", F.array().cast(f"array<struct<{kind}>>"), step)
+    return grouped.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*").drop("prio")
+
+
 def fuse(children: dict[str, DataFrame], policy: str = "retain_all") -> DataFrame:
     """doc_id, ss, se, ls, le, child, contributors: union of methods in order of priority.
 
-    Equal pairs merge. A pair that shares exactly one span with an accepted one is kept (retain_all) or given up (abstain, priority).
+    Equal pairs merge. A pair that shares one span with an accepted one is kept (retain_all) or given up (abstain, priority).
     """
-    rows = reduce(DataFrame.unionByName, [p.select(*KEY).distinct().withColumn("child", F.lit(n)).withColumn("prio", F.lit(i)) for i, (n, p) in enumerate(children.items())])
-    once = rows.groupBy(*KEY).agg(F.min(F.struct("prio", "child")).alias("m"), F.array_join(F.array_sort(F.collect_set("child")), ",").alias("contributors"))
-    once = once.select(*KEY, F.col("m.prio").alias("prio"), F.col("m.child").alias("child"), "contributors")
-    if policy == "retain_all":
-        return once.drop("prio")
-    s = F.struct("prio", "ss", "se", "ls", "le", "child", "contributors")
-    grouped = once.groupBy("doc_id").agg(F.array_sort(F.collect_list(s)).alias("p"))
-    kind = "array<struct<prio:int,ss:bigint,se:bigint,ls:bigint,le:bigint,child:string,contributors:string>>"
+    return _fused(children, policy).filter("accepted").select(*KEY, "child", F.array_join("names", ",").alias("contributors"))
 
-    def step(acc, x):
-        clash = F.exists(acc, lambda a: ((a["ss"] == x["ss"]) & (a["se"] == x["se"])) | ((a["ls"] == x["ls"]) & (a["le"] == x["le"])))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    return grouped.select("doc_id", F.explode(F.aggregate("p", F.array().cast(kind), step)).alias("x")).select("doc_id", "x.ss", "x.se", "x.ls", "x.le", "x.child", "x.contributors")
+def fuse_log(children: dict[str, DataFrame], policy: str = "retain_all") -> DataFrame:
+    """doc_id, ss, se, ls, le, child, accepted, decision: what became of each pair of each method.
+
+    ``accepted`` for the first method that has an accepted pair, ``exact_duplicate_merge`` for the others; pairs given up are ``conflict_abstention``
+    under abstain and ``priority_conflict`` under priority.
+    """
+    lost = "priority_conflict" if policy == "priority" else "conflict_abstention"
+    rows = _fused(children, policy).select(*KEY, F.col("child").alias("first"), F.explode("names").alias("child"), "accepted")
+    decision = F.when(~F.col("accepted"), lost).when(F.col("child") == F.col("first"), "accepted").otherwise("exact_duplicate_merge")
+    return rows.select(*KEY, "child", "accepted", decision.alias("decision"))
 
 
 def ordinal_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -98,15 +117,59 @@ def unique_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return r.withColumn("n", n).filter("n = 1").select("doc_id", "ss", (F.col("ss") + F.length("sf")).cast("long").alias("se"), "ls", (F.col("ls") + F.length("lf")).cast("long").alias("le"))
 
 
+def direct_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, i, ss, se, ls, le, code, reason of directly extracted pairs; accepted ones have code ``accepted``, each span pair once.
+
+    pairs: doc_id, i (order), mode, evidence, sf, lf, ss, se, ls, le. In mode ``quote`` the evidence is a quote of the text, and each form stands in it
+    exactly once (overlapping occurrences count); exactly one occurrence of it may be left. In mode ``offset`` the spans are given, the forms
+    are what stands there, and evidence says ``contiguous`` or ``discontinuous``; the latter is kept out of scoring. A document of
+    ``docs`` without a pair has one row, abstained, with i null.
+    """
+    q = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    quote = F.col("mode") == "quote"
+    found = lambda hay, needle: F.when(quote, all_occurrences(F.col(hay), F.col(needle)))
+    q = q.withColumn("at", found("text", "evidence")).withColumn("so", found("evidence", "sf")).withColumn("lo", found("evidence", "lf"))
+    forms = (F.size("so") == 1) & (F.size("lo") == 1) & ((F.get("so", F.lit(0)) != F.get("lo", F.lit(0))) | (F.length("sf") != F.length("lf")))
+    failed = (
+        F.when(F.size("at") == 0, "evidence_quote is not an exact source substring").when(~forms, "evidence_quote does not contain exactly one occurrence of each form")
+        .when(F.size("at") > 1, "evidence_quote identifies more than one source occurrence")
+    )
+    base = F.get("at", F.lit(0))
+    start = lambda c, given: F.when(quote & failed.isNull(), base + F.get(c, F.lit(0))).when(~quote, F.col(given))
+    q = q.withColumn("s1", start("so", "ss")).withColumn("l1", start("lo", "ls")).withColumn("failed", F.when(quote, failed))
+    q = q.withColumn("s2", F.when(quote, F.col("s1") + F.length("sf")).otherwise(F.col("se"))).withColumn("l2", F.when(quote, F.col("l1") + F.length("lf")).otherwise(F.col("le")))
+
+    def wrong(side: str, s: str, e: str, form: str) -> list[tuple[Column, str]]:
+        return [
+            (F.col(e) <= F.col(s), f"{side} span must be non-empty"), (F.col(e) > F.length("text"), f"{side} span exceeds document length"),
+            (text_at(F.col("text"), F.col(s), F.col(e)) != F.col(form), f"{side} quote does not match the stated occurrence"),
+        ]
+
+    checks = [*wrong("short_form", "s1", "s2", "sf"), *wrong("long_form", "l1", "l2", "lf")]
+    checks.append(((F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")), "short-form and long-form occurrences must be distinct"))
+    problem = F.coalesce(*[F.when(c, m) for c, m in checks])
+    code = (
+        F.when(F.col("failed").isNotNull(), "quote_grounding_failed").when(~quote & (F.col("evidence") == "discontinuous"), "discontinuous_evidence")
+        .when(problem.isNotNull(), "unsupported_output")
+    )
+    reason = F.coalesce("failed", F.when(code == "unsupported_output", problem))
+    spans = [F.col(c).cast("long").alias(n) for c, n in zip(("s1", "s2", "l1", "l2"), KEY[1:], strict=True)]
+    judged = q.select("doc_id", "i", *spans, code.alias("code"), reason.alias("reason"))
+    good = judged.filter("code IS NULL").withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("i")))
+    good = good.withColumn("code", F.when(F.col("rn") == 1, "accepted").otherwise("duplicate_output")).drop("rn")
+    silent = docs.select("doc_id").join(pairs.select("doc_id").distinct(), "doc_id", "left_anti")
+    none = [F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("i", *KEY[1:])]
+    silent = silent.select("doc_id", *none, F.lit("abstained").alias("code"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(judged.filter("code IS NOT NULL")).unionByName(silent)
+
+
 def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, ss, se, ls, le, verdict of (doc_id, evidence, sf, lf): evidence, then each form inside it, must be found exactly once."""
-    q = quotes.join(docs.select("doc_id", "text"), "doc_id")
-    once = lambda hay, needle: F.when((F.size(occurrences(hay, needle)) == 1), F.get(occurrences(hay, needle), F.lit(0)))
-    q = q.withColumn("at", once(F.col("text"), F.col("evidence"))).withColumn("s", once(F.col("evidence"), F.col("sf"))).withColumn("l", once(F.col("evidence"), F.col("lf")))
-    verdict = F.when(F.col("at").isNull(), "evidence_not_unique").when(F.col("s").isNull(), "short_not_unique").when(F.col("l").isNull(), "long_not_unique").otherwise("grounded")
-    ok = verdict == "grounded"
-    at = lambda c, n: F.when(ok, (F.col("at") + F.col(c) + n).cast("long"))
-    return q.select("doc_id", at("s", 0).alias("ss"), at("s", F.length("sf")).alias("se"), at("l", 0).alias("ls"), at("l", F.length("lf")).alias("le"), verdict.alias("verdict"))
+    """doc_id, ss, se, ls, le, verdict of (doc_id, evidence, sf, lf), as quotes of ``direct_pairs``, without removal of repeats."""
+    blank = [F.lit(None).cast("long").alias(c) for c in KEY[1:]]
+    rows = quotes.select("doc_id", F.monotonically_increasing_id().alias("i"), F.lit("quote").alias("mode"), "evidence", "sf", "lf", *blank)
+    out = direct_pairs(rows, docs).filter("code <> 'abstained'")
+    there = F.col("code").isin("accepted", "duplicate_output")
+    return out.select("doc_id", *[F.when(there, F.col(c)).alias(c) for c in KEY[1:]], F.coalesce("reason", F.lit("grounded")).alias("verdict"))
 
 
 def judge(answers: DataFrame, t1: float = 0.5, t2: float = 0.5) -> DataFrame:

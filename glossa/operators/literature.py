@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.lineage import checkpoint, components, hash_rank
-from glossa.functions.text import WORD_CHARS, occurrences
+from glossa.functions.lineage import checkpoint, components, hash_rank, skew_join
+from glossa.functions.text import WORD_CHARS, fold, matches, quoted
 
 
 def section_documents(sections: DataFrame) -> DataFrame:
@@ -36,48 +37,101 @@ def span_sections(spans: DataFrame, offsets: DataFrame) -> DataFrame:
     return j.withColumn("n", n).filter("n = 1").select("article", "s", "e", "ord", (F.col("s") - F.col("start")).alias("rs"), (F.col("e") - F.col("start")).alias("re"))
 
 
-def link_mentions(docs: DataFrame, definitions: DataFrame, conflict: str = "abstain") -> DataFrame:
-    """doc_id, s, e, status, definition_start, n: each occurrence of a defined short form (case-insensitive, optional plural s).
-
-    It links to the nearest definition that starts at or before it; definitions tied there are ambiguous. A definition's
-    own short form is a mention too, and each surface casing scans anew.
+def link_mentions(
+    docs: DataFrame,
+    definitions: DataFrame,
+    scope: str = "article",
+    ordering: str = "nearest_preceding",
+    conflict: str = "abstain",
+    case_sensitive: bool = False,
+    allow_plural: bool = False,
+    sections: DataFrame | None = None,
+) -> DataFrame:
+    """doc_id, sf, s, e, status, definition_start, n: each match of a defined short form, each surface casing scanned anew.
+
+    A match links to the eligible definition of its form whose short form starts last. Eligible are definitions that start at or before the
+    match (``ordering`` nearest_preceding) or any (nearest_any), and with ``scope`` section only those in the match's own section
+    (sections: doc_id, start, end). Definitions that tie there are ambiguous with ``conflict`` abstain, and linked with nearest. Without an
+    eligible one the status is undefined, or abstain with nearest_any. A definition's own short form is a mention too. n is the
+    number of definitions tied. ``allow_plural``: an s after the form belongs to the match.
+
+    A document's definitions are one list, so its text is met and searched once per surface, and no match is joined to anything.
     """
-    at = F.least("ss", "ls")
-    d = definitions.select("doc_id", "sf", at.alias("at"))
-    surfaces = d.select("doc_id", "sf").distinct().join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
-    m = surfaces.select("doc_id", "sf", "low", F.explode(occurrences(F.col("low"), F.lower("sf"))).alias("s"))
-    plural = F.when(F.expr("substring(low, s + length(sf) + 1, 1) = 's'"), 1).otherwise(0)
-    m = m.select("doc_id", "sf", "s", (F.col("s") + F.length("sf") + plural).cast("long").alias("e"), F.lower("sf").alias("key"))
-    # nearest preceding definition per mention, by one aggregation over the joined keys
-    j = m.join(d.select("doc_id", F.lower("sf").alias("key"), "at"), ["doc_id", "key"])
-    g = j.groupBy("doc_id", "sf", "s", "e").agg(F.max(F.when(F.col("at") <= F.col("s"), F.col("at"))).alias("definition_start"), F.collect_list("at").alias("ats"))
-    n = F.size(F.filter("ats", lambda x: x == F.col("definition_start")))
-    status = F.when(F.col("definition_start").isNull(), "undefined").when((n > 1) & F.lit(conflict == "abstain"), "ambiguous").otherwise("linked")
-    return g.select("doc_id", "s", "e", status.alias("status"), "definition_start", F.when(F.col("definition_start").isNull(), 0).otherwise(n).cast("long").alias("n"))
+    key = (lambda c: c) if case_sensitive else fold
+    listed = F.collect_list(F.struct(key(F.col("sf")).alias("key"), F.col("ss").alias("at")))
+    d = definitions.filter("ss IS NOT NULL AND sf IS NOT NULL").groupBy("doc_id").agg(listed.alias("defs"), F.collect_set("sf").alias("surfaces"))
+    rows = docs.select("doc_id", "text").join(d, "doc_id")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    if sections is not None:
+        part = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+        of = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("sections"))
+        rows = rows.join(of, "doc_id", "left").withColumn("sections", F.coalesce("sections", none))
+    else:
+        rows = rows.withColumn("sections", none)
+    pattern = lambda c: F.concat(F.lit("" if case_sensitive else "(?iu)"), quoted(c), F.lit("s?" if allow_plural else ""))
+    section = lambda s, e: F.get(F.filter("sections", lambda x: (x["start"] <= s) & (e <= x["end"])), F.lit(0))["start"]
+
+    def link(sf: Column, m: Column) -> Column:
+        mine = F.filter("defs", lambda x: x["key"] == key(sf))
+        if scope == "section":
+            mine = F.filter(mine, lambda x: section(x["at"], x["at"] + F.length(sf)) == section(m["s"], m["e"]))
+        if ordering == "nearest_preceding":
+            mine = F.filter(mine, lambda x: x["at"] <= m["s"])
+        return F.transform(mine, lambda x: x["at"])
+
+    def search(sf: Column) -> Column:
+        linked = lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), link(sf, m).alias("ats"))
+        return F.struct(sf.alias("sf"), F.transform(matches(F.col("text"), pattern(sf)), linked).alias("m"))
+
+    out = rows.select("doc_id", F.explode(F.transform("surfaces", search)).alias("f")).select("doc_id", "f.sf", F.explode("f.m").alias("m"))
+    out = out.select("doc_id", "sf", "m.s", "m.e", "m.ats").withColumn("definition_start", F.array_max("ats"))
+    n = F.coalesce(F.size(F.filter("ats", lambda x: x == F.col("definition_start"))), F.lit(0))
+    lost = "undefined" if ordering == "nearest_preceding" else "abstain"
+    status = F.when(F.col("definition_start").isNull(), lost).when((n > 1) & F.lit(conflict == "abstain"), "ambiguous").otherwise("linked")
+    return out.select("doc_id", "sf", "s", "e", status.alias("status"), "definition_start", F.when(F.col("definition_start").isNull(), 0).otherwise(n).cast("long").alias("n"))
 
 
 def _token_sets(frame: DataFrame) -> DataFrame:
-    tokens = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_CHARS), F.lit(0))))
-    return frame.select("record_id", tokens.alias("tokens")).withColumn("n", F.size("tokens")).filter("n > 0")
+    """record_id, t (hashes of its different words, ascending), n, of records with words."""
+    hashed = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD_CHARS), F.lit(0))), lambda w: F.xxhash64(w))
+    return frame.select("record_id", F.array_sort(hashed).alias("t")).withColumn("n", F.size("t")).filter("n > 0")
 
 
 def similar_pairs(frame: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """Links (a, b) of records whose word sets are similar: equal sets in a star, others by a prefix of their rarest words, verified."""
-    sets = _token_sets(frame).withColumn("key", F.sha2(F.concat_ws("\x1f", "tokens"), 256))
-    classes = sets.groupBy("key").agg(F.min("record_id").alias("rep"))
-    equal = sets.select("key", "record_id").join(classes, "key").filter("record_id <> rep").select(F.col("record_id").alias("a"), F.col("rep").alias("b"))
-    reps = checkpoint(sets.join(classes.select(F.col("rep").alias("record_id")), "record_id", "left_semi").select("record_id", "n", "tokens"))
-    words = reps.select("record_id", "n", F.explode("tokens").alias("token"))
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    """Links (a, b) of records whose word sets are similar: equal sets in a star, others by a prefix of their rarest words, verified.
+
+    Words are compared by 64-bit hashes. Similar sets share a word of their prefixes and have nearly one size, so prefixes meet by word and
+    size band (a band and the next), which keeps apart the many sets that share a frequent word. A word that two sets share first leaves
+    room for their overlap after its places; pairs without that room go at once, and whole sets meet for the others alone.
+    """
+    sets = checkpoint(_token_sets(frame).withColumn("key", F.xxhash64("t")))
+    classes = checkpoint(sets.groupBy("key", "t", "n").agg(F.min("record_id").alias("rep"), F.count(F.lit(1)).alias("c")))
+    stars = checkpoint(classes.filter("c > 1").select("key", "n", "rep", "c"))
+    equal = skew_join(sets.select("record_id", "key", "n"), stars, ["key", "n"], "c", "inner").filter("record_id <> rep")
+    equal = equal.select(F.col("record_id").alias("a"), F.col("rep").alias("b"))
+    reps = classes.select(F.col("rep").alias("record_id"), "n", "t")
+    words = reps.select("record_id", "n", F.explode("t").alias("token"))
+    df = checkpoint(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     # words of one record match nothing and come first in the order of rarity, so only the others need be ordered
-    shared = words.join(df, "token").groupBy("record_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.size("t"))
-    prefix = shared.withColumn("k", keep.cast("int")).filter("k > 0").select("record_id", "n", F.explode(F.slice("t", F.lit(1), F.col("k"))).alias("x")).select("record_id", "n", "x.token")
-    left, right = prefix, prefix.select(F.col("record_id").alias("other"), F.col("n").alias("m"), "token")
-    pairs = left.join(right, "token").filter((F.col("record_id") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("record_id", "other").distinct()
-    both = pairs.join(reps, "record_id").join(reps.select(F.col("record_id").alias("other"), F.col("tokens").alias("more")), "other")
-    hit = F.size(F.array_intersect("tokens", "more"))
-    both = both.filter(hit >= threshold * (F.size("tokens") + F.size("more") - hit) - 1e-9)
+    shared = skew_join(words, df, ["token"], "df", "inner").groupBy("record_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    alone = F.col("n") - F.size("t")
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
+    prefix = shared.withColumn("k", keep.cast("int")).filter("k > 0")
+    band = F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold)).cast("long")
+    prefix = prefix.select("record_id", "n", alone.alias("alone"), band.alias("band"), F.posexplode(F.slice("t", F.lit(1), F.col("k"))).alias("i", "x"))
+    prefix = checkpoint(prefix.select("record_id", "n", "band", "x.token", (F.col("alone") + F.col("i")).alias("place")))
+    left = prefix.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    right = prefix.select(F.col("record_id").alias("other"), F.col("n").alias("m"), F.col("band").alias("at"), F.col("place").alias("spot"), "token")
+    met = left.join(right, ["token", "at"])
+    order = (F.col("at") > F.col("band")) | (F.col("record_id") < F.col("other"))
+    alike = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("spot"))
+    fits = room >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    met = met.filter(order & (F.col("record_id") != F.col("other")) & alike & fits)
+    pairs = met.select(F.least("record_id", "other").alias("record_id"), F.greatest("record_id", "other").alias("other")).distinct()
+    both = pairs.join(reps.drop("n"), "record_id").join(reps.select(F.col("record_id").alias("other"), F.col("t").alias("more")), "other")
+    hit = F.size(F.array_intersect("t", "more"))
+    both = both.filter(hit >= threshold * (F.size("t") + F.size("more") - hit) - 1e-9)
     return equal.unionByName(both.select(F.col("other").alias("a"), F.col("record_id").alias("b")))
 
 

@@ -2,7 +2,8 @@
 
 The driver's tables hold no abbreviation definitions, so the text operators run on this construction, which Spark and SQL build alike.
 Eight forms, by doc_id: after the long form, reversed, a false parenthesis, with boundary noise, in brackets, nested, a table row,
-and with later mentions. Texts of fewer than 14 words stay as they are.
+and with later mentions. Some heads have a letter whose lower-case form is longer before the long form, a string that overlaps itself, or the
+characters that end a quotation in a pattern. Texts of fewer than 14 words stay as they are.
 """
 
 from __future__ import annotations
@@ -26,12 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, kind, sf, lf, ss, se, ls, le, source, lang; the spans are null where there is no definition."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"), "source", "lang")
-    w = d.withColumn("w", F.slice(F.regexp_extract_all("body", F.lit("[A-Za-z]+"), F.lit(0)), 1, 14))
+    words = lambda c: F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0))
+    # fifteen words in the first characters settle the first fourteen; otherwise the whole text is read
+    head = words(F.substring("body", 1, 400))
+    w = d.withColumn("w", F.slice(F.when(F.size(head) >= 15, head).otherwise(words(F.col("body"))), 1, 14))
     part = lambda a, b: F.array_join(F.slice("w", a, b), " ")
+    odd = lambda k, x: F.when(F.col("doc_id") % 5 == k, x).otherwise("")
     full = F.size("w") >= 14
     w = w.select(
         "doc_id", "body", "source", "lang", F.when(full, F.pmod("doc_id", F.lit(8))).cast("int").alias("kind"),
-        part(1, 5).alias("pre"), part(6, 3).alias("lf"), part(9, 6).alias("post"),
+        F.concat(part(1, 5), odd(0, " İİ")).alias("pre"), part(6, 3).alias("lf"), F.concat(part(9, 6), odd(1, " axaxaxa"), odd(2, " \\E1")).alias("post"),
         F.upper(F.array_join(F.transform(F.slice("w", 6, 3), lambda x: F.substring(x, 1, 1)), "")).alias("sf"),
     )
     form = F.expr("""CASE kind
@@ -65,8 +70,8 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB: common table expressions for the corpus, its gold definitions, the lexicon and the parentheses.
 CORPUS = r"""
 c0 AS (SELECT doc_id, coalesce(text, '') AS body, source, lang, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:14] AS w FROM documents),
-c1 AS (SELECT doc_id, body, source, lang, CASE WHEN len(w) >= 14 THEN (doc_id % 8)::INT END AS kind, array_to_string(w[1:5], ' ') AS pre,
-  array_to_string(w[6:8], ' ') AS lf, array_to_string(w[9:14], ' ') AS post,
+c1 AS (SELECT doc_id, body, source, lang, CASE WHEN len(w) >= 14 THEN (doc_id % 8)::INT END AS kind, array_to_string(w[1:5], ' ') || CASE WHEN doc_id % 5 = 0 THEN ' İİ' ELSE '' END AS pre,
+  array_to_string(w[6:8], ' ') AS lf, array_to_string(w[9:14], ' ') || CASE doc_id % 5 WHEN 1 THEN ' axaxaxa' WHEN 2 THEN ' \E1' ELSE '' END AS post,
   upper(array_to_string(list_transform(w[6:8], lambda x: x[1:1]), '')) AS sf FROM c0),
 c2 AS (SELECT *, length(pre) AS n, length(lf) AS m, length(sf) AS k, CASE kind
   WHEN 0 THEN concat(pre, ' ', lf, ' (', sf, ') ', post) WHEN 1 THEN concat(pre, ' ', sf, ' (', lf, ') ', post)

@@ -227,7 +227,7 @@ FROM corpus c LEFT JOIN a ON a.doc_id = c.doc_id LEFT JOIN b ON b.doc_id = c.doc
   lambda x: length(x) BETWEEN 2 AND 12 AND (regexp_matches(x, '[0-9]') OR (regexp_matches(x, '\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}')))))) AS t FROM documents)
 SELECT doc_id, array_to_string(t, ' ') AS tokens, len(t) AS n FROM t""",
     "mapping_loss": sql(
-        f"f AS (SELECT g.doc_id, unnest(['short', 'long']) AS role, unnest([sf, lf]) AS form, d.text FROM gold g JOIN documents d ON d.doc_id = g.doc_id), n AS (SELECT role, len({OCC.format(t='text', n='form')}) AS k FROM f)",
+        f"f AS (SELECT g.doc_id, unnest(['short', 'long']) AS role, unnest([sf, lf]) AS form, d.text FROM gold g JOIN documents d ON d.doc_id = g.doc_id), n AS (SELECT role, CASE WHEN instr(text, form) = 0 THEN 0 WHEN instr(substr(text, instr(text, form) + 1), form) = 0 THEN 1 ELSE 2 END AS k FROM f)",
         select="SELECT role, CASE k WHEN 0 THEN 'absent' WHEN 1 THEN 'mapped' ELSE 'repeated' END AS cause, count(*) AS n FROM n GROUP BY ALL",
     ),
     "availability_prf_gates": sql(

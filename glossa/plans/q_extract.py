@@ -10,7 +10,7 @@ from glossa.plans.corpus import CORPUS, PARENS, WINDOW, corpus, gold, lexicon
 
 SH = r"""q AS (SELECT *, open AS before, least(length(content) + 5, 2 * length(content)) AS most FROM parens
   WHERE regexp_full_match(content, '[A-Za-z][A-Za-z0-9-]*') AND length(content) >= 2),""" + WINDOW + r""",
-sh0 AS (SELECT *, lower(win) AS low, concat('(?s)^((?:.*[^a-z0-9])?)', array_to_string(string_split(lower(regexp_replace(content, '[^A-Za-z0-9]', '', 'g')), ''), '.*')) AS pat FROM lw),
+sh0 AS (SELECT *, lower(replace(win, 'İ', 'ı')) AS low, concat('(?s)^((?:.*[^a-z0-9])?)', array_to_string(string_split(lower(regexp_replace(content, '[^A-Za-z0-9]', '', 'g')), ''), '.*')) AS pat FROM lw),
 sh1 AS (SELECT *, length(regexp_extract(low, pat, 1)) AS skip FROM sh0 WHERE regexp_matches(low, pat)),
 sh AS (SELECT doc_id, open + 1 AS ss, open + 1 + length(content) AS se, wstart + skip AS ls, wend AS le, content AS sf, substr(win, skip + 1) AS lf FROM sh1)"""
 

@@ -43,6 +43,14 @@ def definitions(s: SparkSession, d: str) -> DataFrame:
     return g.unionByName(again).unionByName(later)
 
 
+def halves(s: SparkSession, d: str) -> DataFrame:
+    """Two sections per text: its first 60 characters, and what follows."""
+    n = F.length("text").cast("long")
+    c = corpus(s, d)
+    first = c.select("doc_id", F.lit(0).cast("long").alias("start"), F.least(n, F.lit(60)).alias("end"))
+    return first.unionByName(c.filter(n > 60).select("doc_id", F.lit(60).cast("long").alias("start"), n.alias("end")))
+
+
 def frame(s: SparkSession, d: str) -> DataFrame:
     """Documents as a sampling frame."""
     i = F.col("doc_id")
@@ -80,11 +88,25 @@ def outside_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def quotes(s: SparkSession, d: str) -> DataFrame:
+    """Evidence around each definition, some of it altered; a string that overlaps itself, and one with the end of a quotation."""
     c = corpus(s, d).filter("ss IS NOT NULL")
-    lo, hi = F.least("ss", "ls"), F.greatest("se", "le")
     ev = F.expr("substring(text, cast(least(ss, ls) AS INT) + 1, cast(greatest(se, le) - least(ss, ls) AS INT) + 1)")
-    del lo, hi
-    return c.select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.concat(ev, F.lit("?"))).otherwise(ev).alias("evidence"), "sf", "lf")
+    own = c.select("doc_id", F.when(F.col("doc_id") % 6 == 0, F.concat(ev, F.lit("?"))).otherwise(ev).alias("evidence"), "sf", "lf")
+    line = lambda e, a, b: [F.lit(x).alias(n) for x, n in ((e, "evidence"), (a, "sf"), (b, "lf"))]
+    twice = c.filter("doc_id % 5 = 1").select("doc_id", *line("axaxa", "xax", "a"))
+    end = c.filter("doc_id % 5 = 2").select("doc_id", *line("\\E1", "E1", "\\E"))
+    return own.unionByName(twice).unionByName(end)
+
+
+def extracted(s: SparkSession, d: str) -> DataFrame:
+    """The quotes as pairs of a direct extraction, and gold pairs with their offsets: some shifted, discontinuous, too long or repeated."""
+    blank = [F.lit(None).cast("long").alias(c) for c in KEY[1:]]
+    q = quotes(s, d).select("doc_id", (F.when(F.col("evidence") == "axaxa", 1).when(F.col("sf") == "E1", 2).otherwise(0)).cast("long").alias("i"), F.lit("quote").alias("mode"), "evidence", "sf", "lf", *blank)
+    g = gold(s, d).filter("doc_id % 7 <> 0")
+    kind = F.when(F.col("doc_id") % 4 == 1, "discontinuous").otherwise("contiguous")
+    o = g.select("doc_id", F.lit(3).cast("long").alias("i"), F.lit("offset").alias("mode"), kind.alias("evidence"), "sf", "lf", (F.col("ss") + (F.col("doc_id") % 9 == 0).cast("long")).alias("ss"), F.when(F.col("doc_id") % 11 == 0, F.col("ss")).otherwise(F.col("se") + (F.col("doc_id") % 9 == 0).cast("long")).alias("se"), "ls", F.when(F.col("doc_id") % 13 == 0, F.lit(10_000_000)).otherwise(F.col("le")).alias("le"))
+    same = g.filter("doc_id % 10 = 3").select("doc_id", F.lit(4).cast("long").alias("i"), F.lit("offset").alias("mode"), F.lit("contiguous").alias("evidence"), "sf", F.col("sf").alias("lf"), "ss", "se", F.col("ss").alias("ls"), F.col("se").alias("le"))
+    return q.unionByName(o).unionByName(same)
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
@@ -112,7 +134,8 @@ QUERIES = {
     "pattern_induce": lambda s, d: weak.induce(pair_evidence(s, d), corpus(s, d), context=0),
     "pattern_validate": lambda s, d: weak.validate(weak.induce(pair_evidence(s, d).filter("doc_id % 2 = 0"), corpus(s, d), context=0), gold(s, d).filter("doc_id % 2 = 1"), corpus(s, d), context=0),
     "reused_evidence": lambda s, d: weak.reused_evidence(table(s, d, "events").groupBy((F.col("event_id") % 40).alias("stage")).agg(F.collect_set("user_id").alias("evidence_ids"))),
-    "mention_link": lambda s, d: literature.link_mentions(corpus(s, d), definitions(s, d)),
+    "mention_link": lambda s, d: literature.link_mentions(corpus(s, d), definitions(s, d), allow_plural=True),
+    "mention_link_section": lambda s, d: literature.link_mentions(corpus(s, d), definitions(s, d), scope="section", ordering="nearest_any", conflict="nearest", case_sensitive=True, sections=halves(s, d)),
     "segment_sections": lambda s, d: literature.section_documents(sections(s, d)),
     "segment_article": lambda s, d: literature.article_documents(sections(s, d)),
     "section_offsets": lambda s, d: literature.section_offsets(sections(s, d)),
@@ -137,6 +160,8 @@ QUERIES = {
     "hybrid_abstain": lambda s, d: fuse.fuse(methods(s, d), "abstain"),
     "bioadi_ordinal": lambda s, d: fuse.ordinal_pairs(outside_rows(s, d), corpus(s, d)),
     "ab3p_unique": lambda s, d: fuse.unique_pairs(outside_rows(s, d), corpus(s, d)),
+    "direct_extraction": lambda s, d: fuse.direct_pairs(extracted(s, d), corpus(s, d)),
+    "hybrid_priority_log": lambda s, d: fuse.fuse_log(methods(s, d), "priority"),
     "quote_grounding": lambda s, d: fuse.ground_quotes(quotes(s, d), corpus(s, d)),
     "judge_policy": lambda s, d: fuse.judge(answers(s, d)),
     "request_chunks": lambda s, d: fuse.pack_requests(turns(s, d), 3, 1500),
@@ -160,6 +185,17 @@ ep AS (SELECT doc_id, ss, se, ls, le, CASE WHEN CASE WHEN le <= ss THEN (regexp_
 SCORE = "round(CASE WHEN cost = 0 THEN 1.0::DOUBLE ELSE 1 / (1 + 0.05::DOUBLE * cost) END, 6) AS score"
 OUTSIDE = f"""orow AS (SELECT doc_id, sf, lf, 1 AS ord FROM gold UNION ALL SELECT doc_id, sf, lf, 2 FROM gold WHERE doc_id % 7 = 0),
 oc AS (SELECT r.*, row_number() OVER w AS k, count(*) OVER (PARTITION BY r.doc_id, sf, lf) AS n, {OCC.format(t="text", n="sf")} AS so, {OCC.format(t="text", n="lf")} AS lo FROM orow r JOIN (SELECT doc_id, text FROM corpus) USING (doc_id) WINDOW w AS (PARTITION BY r.doc_id, sf, lf ORDER BY ord))"""
+DEFINED = "df AS (SELECT doc_id, sf, ss AS p FROM gold UNION ALL SELECT doc_id, sf, ss FROM gold WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, sf, ss + 40 FROM gold WHERE doc_id % 5 = 2)"
+#: Matches of each surface: the pieces between them and the matches themselves give the offsets.
+MENTION = """sm AS (SELECT DISTINCT doc_id, sf FROM df), m0 AS (SELECT doc_id, sf, regexp_split_to_array(text, {flags}regexp_escape(sf){plural}) AS ps, regexp_extract_all(text, {flags}regexp_escape(sf){plural}) AS hs FROM sm JOIN (SELECT doc_id, text FROM corpus) USING (doc_id)),
+m1 AS (SELECT doc_id, sf, ps, hs, unnest(range(1, len(hs) + 1)) AS i FROM m0),
+m AS (SELECT doc_id, sf, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s, length(hs[i]) AS k, s + k AS e FROM m1),
+mm AS (SELECT m.doc_id, m.sf, m.s, m.e, df.p, {scope} AS ok FROM m JOIN df ON df.doc_id = m.doc_id AND {same}){sect}"""
+QUOTES = r"""e0 AS (SELECT doc_id, text, sf, lf, 0 AS i, substr(text, least(ss, ls) + 1, greatest(se, le) - least(ss, ls) + 1) || CASE WHEN doc_id % 6 = 0 THEN '?' ELSE '' END AS ev FROM corpus WHERE ss IS NOT NULL
+  UNION ALL SELECT doc_id, text, 'xax', 'a', 1, 'axaxa' FROM corpus WHERE ss IS NOT NULL AND doc_id % 5 = 1 UNION ALL SELECT doc_id, text, 'E1', '\E', 2, '\E1' FROM corpus WHERE ss IS NOT NULL AND doc_id % 5 = 2),
+e1 AS (SELECT *, instr(text, ev) AS a, instr(ev, sf) AS b, instr(ev, lf) AS c, a > 0 AND instr(substr(text, a + 1), ev) > 0 AS a2, b > 0 AND instr(substr(ev, b + 1), sf) = 0 AND c > 0 AND instr(substr(ev, c + 1), lf) = 0 AND (b <> c OR length(sf) <> length(lf)) AS once FROM e0),
+e2 AS (SELECT *, CASE WHEN a = 0 THEN 'evidence_quote is not an exact source substring' WHEN NOT once THEN 'evidence_quote does not contain exactly one occurrence of each form' WHEN a2 THEN 'evidence_quote identifies more than one source occurrence' ELSE 'grounded' END AS verdict FROM e1),
+e3 AS (SELECT doc_id, i, CASE WHEN verdict = 'grounded' THEN a + b - 2 END AS ss, ss + length(sf) AS se, CASE WHEN verdict = 'grounded' THEN a + c - 2 END AS ls, ls + length(lf) AS le, verdict FROM e2)"""
 PICK = "('0x' || substr(sha256('{a}:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 WITHF = "WITH " + FRAME + ",\n"
 
@@ -183,11 +219,14 @@ CASE WHEN pos + neg > 0 THEN round(greatest(pos, neg) / (pos + neg), 6) ELSE 0.0
     ),
     "reused_evidence": "WITH e AS (SELECT DISTINCT event_id % 40 AS stage, user_id FROM events), f AS (SELECT user_id, min(stage) AS first FROM e GROUP BY 1) SELECT stage, count(*) AS n, count(*) FILTER (WHERE first < stage) AS reused, count(*) FILTER (WHERE first < stage) = 0 AS accepted FROM e JOIN f USING (user_id) GROUP BY stage",
     "mention_link": sql(
-        "df AS (SELECT doc_id, sf, least(ss, ls) AS p FROM gold UNION ALL SELECT doc_id, sf, least(ss, ls) FROM gold WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, sf, least(ss, ls) + 40 FROM gold WHERE doc_id % 5 = 2)",
-        f"sm AS (SELECT DISTINCT doc_id, sf FROM df), ms AS (SELECT sm.doc_id, sf, lower(text) AS low, unnest({OCC.format(t='lower(text)', n='lower(sf)')}) AS s FROM sm JOIN (SELECT doc_id, text FROM corpus) USING (doc_id))",
-        "mm AS (SELECT ms.doc_id, ms.sf, s, s + length(ms.sf) + (substr(low, s + length(ms.sf) + 1, 1) = 's')::INT AS e, df.p FROM ms JOIN df ON df.doc_id = ms.doc_id AND lower(df.sf) = lower(ms.sf))",
-        "mg AS (SELECT doc_id, sf, s, e, max(p) FILTER (WHERE p <= s) AS definition_start, list(p) AS ps FROM mm GROUP BY ALL), mn AS (SELECT *, len(list_filter(ps, lambda q: q = definition_start)) AS n FROM mg)",
-        select="SELECT doc_id, s, e, CASE WHEN definition_start IS NULL THEN 'undefined' WHEN n > 1 THEN 'ambiguous' ELSE 'linked' END AS status, definition_start, CASE WHEN definition_start IS NULL THEN 0 ELSE n END AS n FROM mn",
+        DEFINED, MENTION.format(flags="'(?i)' || ", plural=" || 's?'", same="lower(df.sf) = lower(m.sf)", scope="true", sect=""),
+        "mn AS (SELECT doc_id, sf, s, e, max(p) FILTER (WHERE p <= s) AS definition_start, list(p) AS ps FROM mm GROUP BY ALL)",
+        select="SELECT doc_id, sf, s, e, CASE WHEN definition_start IS NULL THEN 'undefined' WHEN len(list_filter(ps, lambda q: q = definition_start)) > 1 THEN 'ambiguous' ELSE 'linked' END AS status, definition_start, CASE WHEN definition_start IS NULL THEN 0 ELSE len(list_filter(ps, lambda q: q = definition_start)) END::BIGINT AS n FROM mn",
+    ),
+    "mention_link_section": sql(
+        DEFINED, MENTION.format(flags="", plural="", same="df.sf = m.sf", scope="CASE WHEN m.e <= 60 THEN 0 WHEN m.s >= 60 THEN 1 END = CASE WHEN df.p + length(df.sf) <= 60 THEN 0 WHEN df.p >= 60 THEN 1 END", sect=""),
+        "mn AS (SELECT doc_id, sf, s, e, max(p) FILTER (WHERE ok) AS definition_start, list(p) FILTER (WHERE ok) AS ps FROM mm GROUP BY ALL)",
+        select="SELECT doc_id, sf, s, e, CASE WHEN definition_start IS NULL THEN 'abstain' ELSE 'linked' END AS status, definition_start, CASE WHEN definition_start IS NULL THEN 0 ELSE len(list_filter(ps, lambda q: q = definition_start)) END::BIGINT AS n FROM mn",
     ),
     "segment_sections": "SELECT conv_id || '/section/' || turn AS document_id, coalesce(text, '') AS text FROM conversations",
     "segment_article": "SELECT conv_id AS article, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id",
@@ -234,11 +273,19 @@ r AS (SELECT *, row_number() OVER (PARTITION BY article ORDER BY h) AS rn FROM c
         OUTSIDE, "z AS (SELECT DISTINCT doc_id, sf, lf, unnest(so) AS ss, lo FROM oc), y AS (SELECT doc_id, sf, lf, ss, unnest(lo) AS ls FROM z), w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sf, lf) AS c FROM y WHERE ls + length(lf) <= ss)",
         select="SELECT doc_id, ss, ss + length(sf) AS se, ls, ls + length(lf) AS le FROM w WHERE c = 1",
     ),
-    "quote_grounding": sql(
-        "e0 AS (SELECT doc_id, text, sf, lf, substr(text, least(ss, ls) + 1, greatest(se, le) - least(ss, ls) + 1) || CASE WHEN doc_id % 6 = 0 THEN '?' ELSE '' END AS ev FROM corpus WHERE ss IS NOT NULL)",
-        f"e1 AS (SELECT *, {OCC.format(t='text', n='ev')} AS a, {OCC.format(t='ev', n='sf')} AS b, {OCC.format(t='ev', n='lf')} AS c FROM e0)",
-        "e2 AS (SELECT *, CASE WHEN len(a) <> 1 THEN 'evidence_not_unique' WHEN len(b) <> 1 THEN 'short_not_unique' WHEN len(c) <> 1 THEN 'long_not_unique' ELSE 'grounded' END AS verdict FROM e1)",
-        select="SELECT doc_id, CASE WHEN verdict = 'grounded' THEN a[1] + b[1] END AS ss, CASE WHEN verdict = 'grounded' THEN a[1] + b[1] + length(sf) END AS se, CASE WHEN verdict = 'grounded' THEN a[1] + c[1] END AS ls, CASE WHEN verdict = 'grounded' THEN a[1] + c[1] + length(lf) END AS le, verdict FROM e2",
+    "quote_grounding": sql(QUOTES, select="SELECT doc_id, ss, se, ls, le, verdict FROM e3"),
+    "direct_extraction": sql(
+        QUOTES,
+        """of AS (SELECT doc_id, 3 AS i, doc_id % 4 = 1 AS apart, sf, lf, ss + (doc_id % 9 = 0)::INT AS ss, CASE WHEN doc_id % 11 = 0 THEN ss ELSE se + (doc_id % 9 = 0)::INT END AS se, ls, CASE WHEN doc_id % 13 = 0 THEN 10000000 ELSE le END AS le FROM gold WHERE doc_id % 7 <> 0
+  UNION ALL SELECT doc_id, 4, false, sf, sf, ss, se, ss, se FROM gold WHERE doc_id % 7 <> 0 AND doc_id % 10 = 3)""",
+        """oj AS (SELECT of.*, CASE WHEN se <= ss THEN 'short_form span must be non-empty' WHEN se > length(text) THEN 'short_form span exceeds document length' WHEN substr(text, ss + 1, se - ss) <> sf THEN 'short_form quote does not match the stated occurrence'
+  WHEN le <= ls THEN 'long_form span must be non-empty' WHEN le > length(text) THEN 'long_form span exceeds document length' WHEN substr(text, ls + 1, le - ls) <> lf THEN 'long_form quote does not match the stated occurrence'
+  WHEN ss = ls AND se = le THEN 'short-form and long-form occurrences must be distinct' END AS problem FROM of JOIN (SELECT doc_id, text FROM corpus) USING (doc_id))""",
+        """ev AS (SELECT doc_id, i, ss, se, ls, le, CASE WHEN verdict <> 'grounded' THEN 'quote_grounding_failed' END AS code, CASE WHEN verdict <> 'grounded' THEN verdict END AS reason FROM e3
+  UNION ALL SELECT doc_id, i, ss, se, ls, le, CASE WHEN apart THEN 'discontinuous_evidence' WHEN problem IS NOT NULL THEN 'unsupported_output' END, CASE WHEN NOT apart THEN problem END FROM oj),
+en AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ss, se, ls, le, code ORDER BY i) AS rn FROM ev)""",
+        select="""SELECT doc_id, i::BIGINT AS i, ss, se, ls, le, CASE WHEN code IS NOT NULL THEN code WHEN rn = 1 THEN 'accepted' ELSE 'duplicate_output' END AS code, reason FROM en
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 'abstained', NULL FROM corpus WHERE doc_id NOT IN (SELECT doc_id FROM ev)""",
     ),
     "judge_policy": sql(
         f"j AS (SELECT *, round({PICK.format(a='d')}, 6) AS pd, round({PICK.format(a='o')}, 6) AS po, doc_id % 3 = 0 AS swap FROM gold WHERE doc_id % 5 <> 0)",

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.functions.text import all_occurrences
+
 SPAN = "struct<start:bigint,end:bigint>"
 CANONICAL = f"""record_id string, schema_version string, document struct<document_id:string,text:string>,
 gold_annotations array<struct<document_id:string,short_form:{SPAN},long_form:{SPAN},short_form_text:string,long_form_text:string>>"""
@@ -238,7 +240,7 @@ def map_in_passages(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     w = Window.partitionBy("document_id").orderBy("i")
     p = passages.withColumn("base", (F.sum(F.length("text") + 1).over(w) - F.length("text") - 1).cast("long"))
     long = pairs.select("document_id", "pair", "sf", "lf", F.explode("passages").alias("i")).distinct().join(p, ["document_id", "i"])
-    find = lambda c: F.transform(_overlapping(F.col("text"), F.col(c)), lambda x: x + F.col("base"))
+    find = lambda c: F.transform(all_occurrences(F.col("text"), F.col(c)), lambda x: x + F.col("base"))
     g = long.groupBy("document_id", "pair", "sf", "lf").agg(F.flatten(F.collect_list(find("sf"))).alias("so"), F.flatten(F.collect_list(find("lf"))).alias("lo"))
     one = (F.size("so") == 1) & (F.size("lo") == 1)
     m = g.select("document_id", "pair", "sf", "lf", F.when(one, F.get("so", F.lit(0))).alias("ss"), F.when(one, F.get("lo", F.lit(0))).alias("ls"))
@@ -247,12 +249,6 @@ def map_in_passages(pairs: DataFrame, passages: DataFrame) -> DataFrame:
     return m.withColumn("vote", vote).select("document_id", "pair", "ss", (F.col("ss") + F.length("sf")).cast("long").alias("se"), "ls", (F.col("ls") + F.length("lf")).cast("long").alias("le"), status.alias("status"))
 
 
-def _overlapping(text: Column, needle: Column) -> Column:
-    """Offsets of all occurrences, overlapping ones too."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(needle) + 1, F.lit(1)))
-    return F.transform(F.filter(at, lambda i: F.substring(text, i, F.length(needle)) == needle), lambda i: (i - 1).cast("long"))
-
-
 def frame(spark: SparkSession, path: str) -> DataFrame:
     """Sampling and selection frames; a repeated record_id fails the job."""
     schema = T.StructType.fromDDL("record_id string, text string, pmid string, pmcid string, source_kind string, year int, available boolean, official_split string, teacher_overlap string, challenge_tags array<string>, occurrence_keys array<string>, language string, document_type string, reuse_class string")
