@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import checkpoint, hash_rank
+
 KEY = ["doc_id", "ss", "se", "ls", "le"]
 
 
@@ -75,22 +77,35 @@ def compare(gold: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
     return scores.join(alone, "method", "left").na.fill(0, ["unique_correct"]).join(F.broadcast(union.select(rounded(F.col("found"), F.col("all")).alias("oracle_recall"))), F.lit(True))
 
 
-def bootstrap_ci(outcomes: DataFrame, rounds: int = 100, seed: str = "boot", n_units: int | None = None) -> DataFrame:
-    """lower, upper: nearest-rank 2.5 % and 97.5 % points of F1 under resampling of documents by hashed draws.
+def bootstrap_ci(outcomes: DataFrame, groups: DataFrame | None = None, rounds: int = 1000, seed: str = "boot") -> DataFrame:
+    """lower and upper of precision, recall and F1: nearest-rank 2.5 % and 97.5 % points over rounds of resampled article groups.
 
-    Each document's count in a round is a Poisson(1) draw of its hash, the large-sample form of drawing with replacement: it needs no
-    index of documents, so a round is one pass with partial aggregation.
+    groups: doc_id, group; None: each document is its own. A round draws as many groups as there are, with replacement: its j-th draw is the group whose
+    rank by digest is a hash of (seed, round, j) modulo their number. Groups get their ranks without a sort of all of them, and a round's draws
+    are added up before anything is gathered.
     """
     units = by_document(outcomes)
-    drawn = units.select("tp", "fp", "fn", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "b", "doc_id"), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    times = reduce(lambda a, c: a + F.when(u >= c, 1).otherwise(0), cdf, F.lit(0))
-    sums = drawn.withColumn("w", times).groupBy("b").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = sums.select(rounded(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), "b")
-    ranked = f1.withColumn("i", F.row_number().over(Window.orderBy("f1", "b")) - 1)  # one row per round
-    at = lambda p: F.max(F.when(F.col("i") == min(rounds - 1, int(p * (rounds - 1))), F.col("f1")))
-    return ranked.agg(at(0.025).alias("lower"), at(0.975).alias("upper"))
+    units = units.withColumn("group", F.col("doc_id")) if groups is None else units.join(groups.select("doc_id", "group").distinct(), "doc_id")
+    units = units.groupBy("group").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    units = checkpoint(hash_rank(units, F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")), 256), "place"))
+    n = max(1, units.count())
+    drawn = units.select(F.col("place").alias("j"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("b"))
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "b", "j"), 256), 1, 12), 16, 10).cast("long")
+    sums = drawn.select("b", (h % n).alias("place")).join(units, "place").groupBy("b").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    values = {"precision": rounded(tp, tp + fp), "recall": rounded(tp, tp + fn), "f1": rounded(2 * tp, 2 * tp + fp + fn)}
+    long = sums.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value"), F.col("b").alias("b")) for m, v in values.items()])))
+    ranked = long.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("value", "b")) - 1)  # a row per round
+    at = lambda p: F.max(F.when(F.col("i") == min(rounds - 1, int(p * (rounds - 1))), F.col("value")))
+    return ranked.groupBy("metric").agg(at(0.025).alias("lower"), at(0.975).alias("upper"))
+
+
+def recovery_by_method(gold: DataFrame, methods: dict[str, DataFrame]) -> DataFrame:
+    """Gold pairs with the outcome of ``recovery`` in a column per method."""
+    out = gold.select(*KEY).distinct()
+    for name, found in methods.items():
+        out = out.join(recovery(gold, found).select(*KEY, F.col("outcome").alias(name)).distinct(), KEY)
+    return out
 
 
 def pair_metrics(strict: DataFrame, diagnostic: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -181,6 +181,15 @@ def judge(answers: DataFrame, t1: float = 0.5, t2: float = 0.5) -> DataFrame:
     return kept.groupBy(*KEY).agg(F.round(F.max("confidence"), 6).alias("confidence"))
 
 
+def judge_choice(answers: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The older policy: candidates whose one choice (forward, reverse, not_definition) is a definition with probability ``threshold`` or more."""
+    kept = answers.filter((F.col("choice") != "not_definition") & (F.col("probability") >= threshold))
+    swap = F.col("choice") == "reverse"
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    kept = kept.select("doc_id", pick("ss", "ls").alias("ss"), pick("se", "le").alias("se"), pick("ls", "ss").alias("ls"), pick("le", "se").alias("le"), "probability")
+    return kept.groupBy(*KEY).agg(F.round(F.max("probability"), 6).alias("confidence"))
+
+
 def pack_requests(items: DataFrame, most: int = 64, characters: int = 48_000) -> DataFrame:
     """doc_id, request, items, characters: a document's items (i, size) packed in order under both limits."""
     g = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "size"))).alias("p"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import checkpoint
 from glossa.operators.evaluate import KEY
 
 
@@ -35,20 +36,52 @@ def split_counts(rows: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.join(manifest, "doc_id").groupBy("split", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def logistic_fit(rows: DataFrame, names: list[str], iterations: int = 500, rate: float = 0.1, l2: float = 0.0) -> dict[str, float]:
-    """Full-batch gradient descent from zero; one aggregation per step, of which the driver sees one row."""
-    rows = rows.select(*names, "label").repartition(*names) if iterations > 20 else rows
-    rows = rows.cache()
-    weights = dict.fromkeys(["bias", *names], 0.0)
-    try:
-        for _ in range(iterations):
-            z = reduce(lambda a, n: a + F.col(n) * F.lit(weights[n]), names, F.lit(weights["bias"]))  # noqa: B023
-            err = 1 / (1 + F.exp(-z)) - F.col("label")
-            step = rows.agg(F.avg(err).alias("bias"), *[F.avg(err * F.col(n)).alias(n) for n in names]).first()
-            weights = {n: w - rate * ((step[n] or 0.0) + (l2 * w if n != "bias" else 0.0)) for n, w in weights.items()}
-    finally:
-        rows.unpersist()
-    return weights
+#: Different rows (features, label) up to this number are fitted on the driver, as a count has checked; more are fitted where they are.
+DRIVER_ROWS = 200_000
+
+
+def logistic_fit(rows: DataFrame, names: list[str], iterations: int = 500, rate: float = 0.1, l2: float = 0.0, balanced: bool = False) -> dict[str, float]:
+    """Full-batch gradient descent from zero on all rows; ``balanced`` weighs each class by rows / (2 * rows of the class).
+
+    Equal rows are added up once. If few enough different ones are left, they are the whole problem and the steps run on the driver; otherwise each
+    step is one pass over a checkpoint, every task giving the sum of its gradients.
+    """
+    label = F.col("label").cast("double")
+    same = rows.groupBy(*[F.col(n).cast("double").alias(n) for n in names], label.alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    same = checkpoint(same)
+    about = same.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("all"), F.sum(F.when(F.col("label") >= 0.5, F.col("rows")).otherwise(0)).alias("ones")).first()
+    total, ones = about["all"] or 0, about["ones"] or 0
+    if not total:
+        raise ValueError("a fit needs rows")
+    heavy = {True: total / (2 * ones) if ones else 0.0, False: total / (2 * (total - ones)) if total > ones else 0.0} if balanced else {True: 1.0, False: 1.0}
+    ordered = [*names, "label", "rows"]
+
+    def gradient(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+        x = np.concatenate([np.ones((len(m), 1)), m[:, : len(names)]], 1)
+        z = x @ w
+        p = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
+        weight = np.where(m[:, -2] >= 0.5, heavy[True], heavy[False]) * m[:, -1]
+        return ((p - m[:, -2]) * weight) @ x
+
+    w = np.zeros(len(names) + 1)
+    few = about["n"] <= DRIVER_ROWS
+    matrix = same.select(*ordered).orderBy(*ordered).toPandas().to_numpy(float) if few else None
+    spread = None if few else checkpoint(same.select(*ordered).repartition(same.sparkSession.sparkContext.defaultParallelism))
+    for _ in range(iterations):
+        if few:
+            step = gradient(matrix, w)
+        else:
+            def part(batches, w=w):
+                total = np.zeros(len(w))
+                for batch in batches:
+                    total += gradient(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ordered], 1), w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(total)], names=["i", "g"])
+
+            found = spread.mapInArrow(part, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+            step = np.array([x["g"] for x in sorted(found, key=lambda x: x["i"])])
+        penalty = np.concatenate([[0.0], l2 * w[1:]])
+        w = w - rate * (step / total + penalty)
+    return dict(zip(["bias", *names], w.tolist(), strict=True))
 
 
 def fit_frame(spark: SparkSession, weights: dict[str, float]) -> DataFrame:

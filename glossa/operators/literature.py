@@ -147,8 +147,14 @@ def group_articles(frame: DataFrame, threshold: float = 0.98) -> DataFrame:
 
 
 def roll_up(frame: DataFrame, groups: DataFrame) -> DataFrame:
-    """group_id, records, kinds, available, unavailable, overlap, tags per group; the id is a hash of the members' keys."""
+    """group_id, records, kinds, available, unavailable, overlap, tags per group; the id is a hash of the members' keys.
+
+    If the frame has an official_split, two of them within one group fail the job.
+    """
     f = frame.join(groups, "record_id")
+    if "official_split" in frame.columns:
+        splits = F.size(F.collect_set("official_split").over(Window.partitionBy("root")))
+        f = f.filter(F.assert_true(splits <= 1, F.lit("a group has several official splits")).isNull())
     key = F.concat(F.lit("record:"), F.col("record_id").cast("string"))
     level = F.when(F.col("teacher_overlap") == "yes", 2).when(F.col("teacher_overlap") == "unknown", 1).otherwise(0)
     g = f.groupBy("root").agg(

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from glossa.operators.evaluate import KEY, rounded
 
+#: Methods that become columns; more of them fail the query, none is left out.
+MAX_METHODS = 1000
 SHORT = "^[A-Za-z][A-Za-z0-9-]{1,29}$"
 
 
@@ -66,7 +68,9 @@ def method_summary(outcomes: DataFrame, docs: DataFrame) -> DataFrame:
 def known_relations(predictions: DataFrame, known: DataFrame) -> DataFrame:
     """class, a count per method: predictions by what is known of their key (known: KEY..., decision), queued if nothing is."""
     what = F.when(F.col("ss").isNull() | F.col("ls").isNull(), "incomplete").when(F.col("decision").isNull(), "queued").when(F.col("decision") == "strict", "strict_exact").otherwise(F.concat(F.lit("prior_"), "decision"))
-    names = [r[0] for r in predictions.select("method").distinct().orderBy("method").limit(100).collect()]
+    names = [r[0] for r in predictions.select("method").distinct().orderBy("method").limit(MAX_METHODS + 1).collect()]
+    if len(names) > MAX_METHODS:
+        raise ValueError(f"more than {MAX_METHODS} methods don't fit the columns of a table")
     return predictions.join(known.select(*KEY, "decision").distinct(), KEY, "left").groupBy(what.alias("class")).pivot("method", names).agg(F.count(F.lit(1))).na.fill(0)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import text_at
+from glossa.functions.text import quoted, text_at
 
 PAIR = ["doc_id", "ss", "se", "ls", "le"]
 #: Patterns that may be broadcast.
@@ -56,18 +56,25 @@ def validate(patterns: DataFrame, pairs: DataFrame, docs: DataFrame, context: in
     """template, held_out, matched, missed: how many held-out templates each pattern covers; short forms are non-blank, long forms anything."""
     t = templates(pairs, docs, context).groupBy("template").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("template", "context")
     total = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("held_out"))
-    quoted = F.concat(F.lit(r"\Q"), F.col("template"), F.lit(r"\E"))
-    pattern = F.replace(F.replace(quoted, F.lit("<SF>"), F.lit(r"\E\S{1,40}\Q")), F.lit("<LF>"), F.lit(r"\E.{1,240}?\Q"))
+    literal = quoted(F.col("template"))
+    pattern = F.replace(F.replace(literal, F.lit("<SF>"), F.lit(r"\E\S{1,40}\Q")), F.lit("<LF>"), F.lit(r"\E.{1,240}?\Q"))
     p = patterns.select("template").distinct().withColumn("pattern", F.concat(F.lit("(?s)^"), pattern, F.lit("$")))
-    # a pattern's literal text before its first mask must start the context: an equi-join on its first characters prunes the pairs
-    lead = lambda c: F.substring(c, 1, 4)
-    usable = p.withColumn("lead", lead(F.substring_index(F.replace("template", F.lit("<LF>"), F.lit("<SF>")), "<SF>", 1)))
-    long = usable.filter(F.length("lead") == 4).join(t.withColumn("lead", lead(F.col("context"))), "lead").filter(F.regexp_like("context", F.col("pattern")))
-    short = usable.filter(F.length("lead") < 4)
-    # patterns that begin with a mask must be tried on every context; they are sent along if a count shows that they are few
-    short = F.broadcast(short) if short.count() <= MOST_PATTERNS else short
-    short = t.join(short, F.regexp_like("context", F.col("pattern")))
-    hits = long.select("template", "n").unionByName(short.select("template", "n")).groupBy("template").agg(F.sum("n").alias("matched"))
+    # a pattern's literal text before its first or after its last mask stands at that end of the context: the longest of these that a pattern
+    # has is the key on which it meets contexts
+    plain = F.replace("template", F.lit("<LF>"), F.lit("<SF>"))
+    ends = {"start": F.substring_index(plain, "<SF>", 1), "end": F.substring_index(plain, "<SF>", -1)}
+    cut = {"start": lambda c, n: F.substring(c, 1, n), "end": lambda c, n: F.right(c, F.lit(n))}
+    hits, rest = None, p.withColumn("first", ends["start"]).withColumn("last", ends["end"])
+    for side, n in (("start", 24), ("end", 24), ("start", 8), ("end", 8)):
+        literal = F.col("first" if side == "start" else "last")
+        mine, rest = rest.filter(F.length(literal) >= n), rest.filter(F.length(literal) < n)
+        met = mine.withColumn("anchor", cut[side](literal, n)).join(t.withColumn("anchor", cut[side](F.col("context"), n)), "anchor")
+        met = met.filter(F.regexp_like("context", F.col("pattern"))).select("template", "n")
+        hits = met if hits is None else hits.unionByName(met)
+    # patterns with next to no text of their own are tried on every context; they are sent along if a count shows that they are few
+    short = F.broadcast(rest) if rest.count() <= MOST_PATTERNS else rest
+    met = t.join(short, F.regexp_like("context", F.col("pattern"))).select("template", "n")
+    hits = hits.unionByName(met).groupBy("template").agg(F.sum("n").alias("matched"))
     out = p.select("template").join(hits, "template", "left").na.fill(0, ["matched"]).join(F.broadcast(total), F.lit(True))
     return out.select("template", "held_out", "matched", (F.col("held_out") - F.col("matched")).alias("missed"))
 
@@ -78,3 +85,11 @@ def reused_evidence(stages: DataFrame) -> DataFrame:
     first = e.groupBy("id").agg(F.min("stage").alias("first"))
     c = e.join(first, "id").groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("first") < F.col("stage"), 1)).alias("reused"))
     return c.withColumn("accepted", F.col("reused") == 0)
+
+
+def candidate_evidence(candidates: DataFrame, docs: DataFrame, family: str, source: str, version: str, polarity: str, weight: float = 1.0) -> DataFrame:
+    """Evidence from candidates: their spans, family, source, version, polarity, weight, and the text from the first form's start to the last one's end."""
+    a, b = F.least("ss", "ls"), F.greatest("se", "le")
+    rows = candidates.select(*PAIR).join(docs.select("doc_id", "text"), "doc_id")
+    fixed = {"family": family, "source": source, "version": version, "polarity": polarity, "weight": weight}
+    return rows.select(*PAIR, *[F.lit(v).alias(k) for k, v in fixed.items()], text_at(F.col("text"), a, b).alias("local_context"))

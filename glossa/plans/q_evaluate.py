@@ -72,7 +72,7 @@ QUERIES = {
     "strata_pivot": lambda s, d: e.strata(outcomes(s, d).join(corpus(s, d).select("doc_id", "lang"), "doc_id"), "lang"),
     "coverage_check": lambda s, d: e.coverage(table(s, d, "documents"), table(s, d, "labels").select((F.col("doc_id") + 5).alias("doc_id"))),
     "compare_union_unique": lambda s, d: e.compare(gold(s, d), methods(s, d)),
-    "bootstrap_hash_ci": lambda s, d: e.bootstrap_ci(outcomes(s, d)),
+    "bootstrap_ci": lambda s, d: e.bootstrap_ci(outcomes(s, d), table(s, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 3).cast("long").alias("group"))),
     "pair_metrics": lambda s, d: e.pair_metrics(gold(s, d).filter("ss > ls"), gold(s, d), sh(s, d).unionByName(toy(s, d), allowMissingColumns=True)),
     "recovery_outcome": lambda s, d: e.recovery(gold(s, d), sh(s, d).unionByName(toy(s, d), allowMissingColumns=True)),
     "dispositions": lambda s, d: e.dispositions(
@@ -133,7 +133,6 @@ SCORES = """z AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END
   ('0x' || substr(sha256('b:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS b, ('0x' || substr(sha256('c:' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS c FROM events),
 y AS (SELECT label, (a + label) / 2 AS s1, (b + label) / 2 AS s2, (c + label) / 2 AS score FROM z),
 grid AS (SELECT unnest([0.5::DOUBLE, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) AS t)"""
-DRAWS = "+".join(f"(u >= {c})::INT" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563))
 
 ORACLE_SQL = {
     "match_exact_pair": sql(PARENS, SH, OUT, select=f"SELECT {K}, status FROM o"),
@@ -151,12 +150,13 @@ FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT doc_id + 5 AS d
         f"p AS ({prf_sql('every', 'method')})",
         select="SELECT p.*, (SELECT count(*) FROM hit WHERE n = 1 AND hit.method = p.method) AS unique_correct, round((SELECT count(*) FROM hit)::DOUBLE / (SELECT count(*) FROM gold), 6) AS oracle_recall FROM p",
     ),
-    "bootstrap_hash_ci": sql(
-        PARENS, SH, OUT, f"u0 AS (SELECT doc_id, {COUNTS} FROM o GROUP BY doc_id)",
-        "u1 AS (SELECT u0.*, b, ('0x' || substr(sha256('boot:' || b || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM u0 CROSS JOIN range(100) t(b))",
-        f"u2 AS (SELECT b, sum(tp * ({DRAWS})) AS tp, sum(fp * ({DRAWS})) AS fp, sum(fn * ({DRAWS})) AS fn FROM u1 GROUP BY b)",
-        f"u3 AS (SELECT {frac('2 * tp', '2 * tp + fp + fn', 'f1')}, b FROM u2), u4 AS (SELECT f1, row_number() OVER (ORDER BY f1, b) - 1 AS i FROM u3)",
-        select="SELECT max(f1) FILTER (WHERE i = 2) AS lower, max(f1) FILTER (WHERE i = 96) AS upper FROM u4",
+    "bootstrap_ci": sql(
+        PARENS, SH, OUT, f"u0 AS (SELECT doc_id // 3 AS g, {COUNTS} FROM o GROUP BY 1), u1 AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY sha256('boot:' || g)) - 1 AS place, count(*) OVER () AS n FROM u0)",
+        "u2 AS (SELECT b, ('0x' || substr(sha256('boot:' || b || ':' || place), 1, 12))::BIGINT % n AS place FROM u1 CROSS JOIN range(1000) t(b))",
+        "u3 AS (SELECT b, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM u2 JOIN u1 USING (place) GROUP BY b)",
+        f"u4 AS (SELECT b, {frac('tp', 'tp + fp', 'p')}, {frac('tp', 'tp + fn', 'r')}, {frac('2 * tp', '2 * tp + fp + fn', 'f')} FROM u3)",
+        "u5 AS (SELECT b, unnest(['precision', 'recall', 'f1']) AS metric, unnest([p, r, f]) AS v FROM u4), u6 AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v, b) - 1 AS i FROM u5)",
+        select="SELECT metric, max(v) FILTER (WHERE i = 24) AS lower, max(v) FILTER (WHERE i = 974) AS upper FROM u6 GROUP BY metric",
     ),
     "pair_metrics": sql(
         PARENS, SH, TOY, BOTH, f"bn AS (SELECT *, row_number() OVER (PARTITION BY {K}) AS rn FROM pool)",

@@ -111,7 +111,7 @@ QUERIES = {
     "split_partition": lambda s, d: learn.split_counts(labelled(s, d), learn.hash_split(table(s, d, "documents").select("doc_id"), "split")),
     "threshold_select": lambda s, d: scored(s, d).filter("score >= 0.6").select(*KEEP, F.round("score", 6).alias("score")),
     "logistic_predict": lambda s, d: scored(s, d).select(*KEEP, F.round("score", 6).alias("score")),
-    "logistic_fit_3": lambda s, d: learn.fit_frame(s, learn.logistic_fit(fit_rows(s, d), ["x1", "x2"], iterations=3)),
+    "logistic_fit": lambda s, d: learn.fit_frame(s, learn.logistic_fit(fit_rows(s, d), ["x1", "x2"], balanced=True)),
     "seed_derive": lambda s, d: table(s, d, "documents").select("doc_id", learn.child_seed(F.lit("42"), F.col("source")).cast("string").alias("seed")),
 }
 
@@ -122,13 +122,15 @@ def fit_rows(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "labels").join(docs, "doc_id").select("x1", "x2", F.col("quality").cast("double").alias("label"))
 
 
-def _gd(k: int) -> str:
-    """One gradient step: weights gk from g(k-1)."""
-    return f"""g{k} AS (SELECT b - 0.1 * avg(p - label) AS b, w1 - 0.1 * avg((p - label) * x1) AS w1, w2 - 0.1 * avg((p - label) * x2) AS w2 FROM (
-  SELECT fr.*, g.*, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) AS p FROM fr CROSS JOIN g{k - 1} g) GROUP BY b, w1, w2)"""
-
+#: Longest common subsequences, a character of the short form per step: cell j of a row is the best of the cell above and, over the
+#: characters up to j that equal the new one, the cell before it above, and one.
+LCS = r"""nm AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, ss, se, ls, le, lower(regexp_replace(short, '[^\p{L}\p{N}]', '', 'g')) AS a, lower(regexp_replace(long, '[^\p{L}\p{N}]', '', 'g')) AS b FROM cs),
+lr AS (SELECT id, 0 AS i, CASE WHEN a = '' THEN []::VARCHAR[] ELSE string_split(a, '') END AS xs, CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END AS ys, list_transform(CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END, lambda x: 0::BIGINT) AS prev FROM nm
+  UNION ALL SELECT id, i + 1, xs, ys, list_transform(range(1, len(ys) + 1), lambda j: greatest(prev[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN ys[k] = xs[i + 1] THEN 1 + CASE WHEN k > 1 THEN prev[k - 1] ELSE 0 END ELSE 0 END)))) FROM lr WHERE i < len(xs)),
+lc AS (SELECT nm.*, coalesce(list_max(prev), 0)::DOUBLE AS n FROM lr JOIN nm USING (id) WHERE i = len(xs))"""
 
 ORACLE_SQL = {
+    "feat_lcs": sql(PARENS, CAND, LCS, select=f"SELECT {K}, n AS lcs, {r('n', 'length(a)')} AS lcs_short, {r('n', 'length(b)')} AS lcs_long, {r('length(a)', 'length(b)')} AS length_ratio, {fl('a = b')} AS equal FROM lc").replace("WITH ", "WITH RECURSIVE ", 1),
     "feat_tokens": oracle({"short_tokens": n_of("short", r"[\p{L}\p{N}_]+"), "long_tokens": n_of("long", r"[\p{L}\p{N}_]+"), "token_ratio": r(n_of("short", r"[\p{L}\p{N}_]+"), n_of("long", r"[\p{L}\p{N}_]+")), "token_difference": n_of("long", r"[\p{L}\p{N}_]+") + " - " + n_of("short", r"[\p{L}\p{N}_]+")}),
     "feat_caps": oracle(_caps()),
     "feat_digits": oracle(_digits()),
@@ -153,7 +155,10 @@ max(CASE WHEN pair THEN 1.0::DOUBLE ELSE 0 END) AS exact_pair, sum(near)::BIGINT
     ),
     "threshold_select": sql(PARENS, CAND, SCORE, select=f"SELECT {K}, round(score, 6) AS score FROM sc WHERE score >= 0.6"),
     "logistic_predict": sql(PARENS, CAND, SCORE, select=f"SELECT {K}, round(score, 6) AS score FROM sc"),
-    "logistic_fit_3": "WITH fr AS (SELECT length(text) / 10000.0::DOUBLE AS x1, CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '[0-9]'))::DOUBLE / length(text) END AS x2, quality::DOUBLE AS label FROM labels JOIN documents USING (doc_id)),\n"
-    + "g0 AS (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2),\n" + ",\n".join(_gd(k) for k in (1, 2, 3)) + "\nSELECT 'bias' AS name, round(b, 6) AS weight FROM g3 UNION ALL SELECT 'x1', round(w1, 6) FROM g3 UNION ALL SELECT 'x2', round(w2, 6) FROM g3",
+    "logistic_fit": """WITH RECURSIVE f0 AS (SELECT length(text) / 10000.0::DOUBLE AS x1, CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '[0-9]'))::DOUBLE / length(text) END AS x2, quality::DOUBLE AS label FROM labels JOIN documents USING (doc_id)),
+fr AS MATERIALIZED (SELECT x1, x2, label, count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY label)) AS w FROM f0),
+g AS (SELECT 0 AS k, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 UNION ALL
+  SELECT k + 1, b - 0.1 * avg((p - label) * w), w1 - 0.1 * avg((p - label) * w * x1), w2 - 0.1 * avg((p - label) * w * x2) FROM (SELECT fr.*, g.*, 1 / (1 + exp(-(b + w1 * x1 + w2 * x2))) AS p FROM fr CROSS JOIN g WHERE k < 500) GROUP BY k, b, w1, w2)
+SELECT unnest(['bias', 'x1', 'x2']) AS name, unnest([round(b, 6), round(w1, 6), round(w2, 6)]) AS weight FROM g WHERE k = 500""",
     "seed_derive": "SELECT doc_id, ('0x' || substr(sha256('42:' || source), 1, 16))::UBIGINT::VARCHAR AS seed FROM documents",
 }

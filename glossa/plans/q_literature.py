@@ -131,8 +131,8 @@ QUERIES = {
     "evidence_dedup": lambda s, d: weak.ledger(evidence(s, d).drop("ord"), ["user_id", "family", "polarity"]).select("user_id", "family", "polarity", "evidence_id"),
     "silver_labels": lambda s, d: weak.silver_labels(evidence(s, d), ["user_id"], 60.0, 50.0),
     "template_extract": lambda s, d: weak.templates(gold(s, d), corpus(s, d)),
-    "pattern_induce": lambda s, d: weak.induce(pair_evidence(s, d), corpus(s, d), context=0),
-    "pattern_validate": lambda s, d: weak.validate(weak.induce(pair_evidence(s, d).filter("doc_id % 2 = 0"), corpus(s, d), context=0), gold(s, d).filter("doc_id % 2 = 1"), corpus(s, d), context=0),
+    "pattern_induce": lambda s, d: weak.induce(pair_evidence(s, d), corpus(s, d)),
+    "pattern_validate": lambda s, d: weak.validate(weak.induce(pair_evidence(s, d).filter("doc_id % 16 < 8"), corpus(s, d)), gold(s, d).filter("doc_id % 16 >= 8"), corpus(s, d)),
     "reused_evidence": lambda s, d: weak.reused_evidence(table(s, d, "events").groupBy((F.col("event_id") % 40).alias("stage")).agg(F.collect_set("user_id").alias("evidence_ids"))),
     "mention_link": lambda s, d: literature.link_mentions(corpus(s, d), definitions(s, d), allow_plural=True),
     "mention_link_section": lambda s, d: literature.link_mentions(corpus(s, d), definitions(s, d), scope="section", ordering="nearest_any", conflict="nearest", case_sensitive=True, sections=halves(s, d)),
@@ -196,10 +196,50 @@ QUOTES = r"""e0 AS (SELECT doc_id, text, sf, lf, 0 AS i, substr(text, least(ss,
 e1 AS (SELECT *, instr(text, ev) AS a, instr(ev, sf) AS b, instr(ev, lf) AS c, a > 0 AND instr(substr(text, a + 1), ev) > 0 AS a2, b > 0 AND instr(substr(ev, b + 1), sf) = 0 AND c > 0 AND instr(substr(ev, c + 1), lf) = 0 AND (b <> c OR length(sf) <> length(lf)) AS once FROM e0),
 e2 AS (SELECT *, CASE WHEN a = 0 THEN 'evidence_quote is not an exact source substring' WHEN NOT once THEN 'evidence_quote does not contain exactly one occurrence of each form' WHEN a2 THEN 'evidence_quote identifies more than one source occurrence' ELSE 'grounded' END AS verdict FROM e1),
 e3 AS (SELECT doc_id, i, CASE WHEN verdict = 'grounded' THEN a + b - 2 END AS ss, ss + length(sf) AS se, CASE WHEN verdict = 'grounded' THEN a + c - 2 END AS ls, ls + length(lf) AS le, verdict FROM e2)"""
+#: The greedy folds step by step: one row per group and step, the state in lists.
+ONE_TO_ONE = """po AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cost, ss, ls, se, le) AS rn FROM ep),
+pr AS (SELECT DISTINCT doc_id, 0::BIGINT AS rn, []::STRUCT(ss BIGINT, se BIGINT, ls BIGINT, le BIGINT, cost DOUBLE)[] AS acc FROM po UNION ALL
+  SELECT p.doc_id, p.rn, CASE WHEN len(list_filter(acc, lambda a: (a.ss = p.ss AND a.se = p.se) OR (a.ls = p.ls AND a.le = p.le))) > 0 THEN acc ELSE list_append(acc, {'ss': p.ss, 'se': p.se, 'ls': p.ls, 'le': p.le, 'cost': p.cost}) END FROM pr JOIN po p ON p.doc_id = pr.doc_id AND p.rn = pr.rn + 1),
+pd AS (SELECT doc_id, unnest(arg_max(acc, rn)) AS a FROM pr GROUP BY doc_id)"""
+FUSED = """fu AS (SELECT DISTINCT doc_id, ss, se, ls, le, 'sh' AS child, 0 AS o FROM sh UNION ALL SELECT DISTINCT *, 'toy', 1 FROM toy),
+f1 AS (SELECT doc_id, ss, se, ls, le, min(o) AS o, arg_min(child, o) AS child, string_agg(child, ',' ORDER BY child) AS contributors FROM fu GROUP BY doc_id, ss, se, ls, le),
+fo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, ss, se, ls, le) AS rn FROM f1),
+fr AS (SELECT DISTINCT doc_id, 0::BIGINT AS rn, []::STRUCT(ss BIGINT, se BIGINT, ls BIGINT, le BIGINT, rn BIGINT)[] AS acc FROM fo UNION ALL
+  SELECT p.doc_id, p.rn, CASE WHEN len(list_filter(acc, lambda a: (a.ss = p.ss AND a.se = p.se) OR (a.ls = p.ls AND a.le = p.le))) > 0 THEN acc ELSE list_append(acc, {'ss': p.ss, 'se': p.se, 'ls': p.ls, 'le': p.le, 'rn': p.rn}) END FROM fr JOIN fo p ON p.doc_id = fr.doc_id AND p.rn = fr.rn + 1),
+fa AS (SELECT doc_id, unnest(arg_max(acc, rn)) AS a FROM fr GROUP BY doc_id),
+fz AS (SELECT fo.*, a IS NOT NULL AS accepted FROM fo LEFT JOIN fa ON fa.doc_id = fo.doc_id AND fa.a.rn = fo.rn)"""
+PROSE = r"""p0 AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) >= 80),
+p1 AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?]) ([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS ss FROM p0),
+ps AS MATERIALIZED (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM p1),
+pk AS (SELECT doc_id, i, length(s) AS now, 1 AS pid FROM ps WHERE i = 1 UNION ALL
+  SELECT ps.doc_id, ps.i, CASE WHEN now + 1 + length(s) > 400 THEN length(s) ELSE now + 1 + length(s) END, CASE WHEN now + 1 + length(s) > 400 THEN pid + 1 ELSE pid END FROM pk JOIN ps ON ps.doc_id = pk.doc_id AND ps.i = pk.i + 1),
+pp AS MATERIALIZED (SELECT doc_id, pid, string_agg(s, ' ' ORDER BY i) AS s, length(string_agg(s, ' ' ORDER BY i)) AS n FROM ps JOIN pk USING (doc_id, i) GROUP BY ALL),
+pj AS (SELECT DISTINCT doc_id, 0 AS pid, []::STRUCT(ids INTEGER[], n BIGINT)[] AS acc FROM pp UNION ALL
+  SELECT pp.doc_id, pp.pid, CASE WHEN pp.n >= 80 THEN CASE WHEN pp.n > 1200 THEN acc ELSE list_append(acc, {'ids': [pp.pid], 'n': pp.n}) END WHEN len(acc) = 0 THEN acc
+    WHEN acc[-1].n + 1 + pp.n > 1200 THEN acc[1:len(acc) - 1] ELSE list_append(acc[1:len(acc) - 1], {'ids': list_append(acc[-1].ids, pp.pid), 'n': acc[-1].n + 1 + pp.n}) END FROM pj JOIN pp ON pp.doc_id = pj.doc_id AND pp.pid = pj.pid + 1),
+pf AS (SELECT doc_id, arg_max(acc, pid) AS acc FROM pj GROUP BY doc_id), pu AS (SELECT doc_id, unnest(acc).ids AS ids, generate_subscripts(acc, 1) - 1 AS i FROM pf),
+pv AS (SELECT doc_id, i, unnest(ids) AS pid FROM pu)"""
+CHUNKS = """ci AS MATERIALIZED (SELECT conv_id AS doc_id, length(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(coalesce(text, ''))) AS rn FROM conversations),
+cr AS (SELECT DISTINCT doc_id, 0::BIGINT AS rn, 0 AS n, 0::BIGINT AS c, 0::BIGINT AS request FROM ci UNION ALL
+  SELECT ci.doc_id, ci.rn, CASE WHEN n > 0 AND (n + 1 > 3 OR c + size > 1500) THEN 1 ELSE n + 1 END, CASE WHEN n > 0 AND (n + 1 > 3 OR c + size > 1500) THEN size ELSE c + size END, request + (n > 0 AND (n + 1 > 3 OR c + size > 1500))::INT
+  FROM cr JOIN ci ON ci.doc_id = cr.doc_id AND ci.rn = cr.rn + 1)"""
 PICK = "('0x' || substr(sha256('{a}:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 WITHF = "WITH " + FRAME + ",\n"
 
+
+def recursive(query: str) -> str:
+    return query.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 ORACLE_SQL = {
+    "pairing_one_to_one": recursive(sql(PARENS, TAGS, PAIRS, ONE_TO_ONE, select=f"SELECT doc_id, a.ss AS ss, a.se AS se, a.ls AS ls, a.le AS le, {SCORE.replace('cost', 'a.cost')} FROM pd")),
+    "hybrid_abstain": recursive(sql(PARENS, SH, TOY, FUSED, select="SELECT doc_id, ss, se, ls, le, child, contributors FROM fz WHERE accepted")),
+    "hybrid_priority_log": recursive(sql(
+        PARENS, SH, TOY, FUSED,
+        select="SELECT fz.doc_id, fz.ss, fz.se, fz.ls, fz.le, fu.child, accepted, CASE WHEN NOT accepted THEN 'priority_conflict' WHEN fu.child = fz.child THEN 'accepted' ELSE 'exact_duplicate_merge' END AS decision FROM fz JOIN fu ON (fz.doc_id, fz.ss, fz.se, fz.ls, fz.le) = (fu.doc_id, fu.ss, fu.se, fu.ls, fu.le)",
+    )),
+    "prose_pack": "WITH RECURSIVE " + PROSE + " SELECT pv.doc_id, pv.i, string_agg(s, ' ' ORDER BY pid) AS text FROM pv JOIN pp USING (doc_id, pid) GROUP BY ALL",
+    "request_chunks": "WITH RECURSIVE " + CHUNKS + " SELECT doc_id, request, count(*) AS items, sum(size)::BIGINT AS characters FROM cr JOIN ci USING (doc_id, rn) GROUP BY ALL",
     "evidence_dedup": "SELECT DISTINCT user_id, event_type AS family, p AS polarity, sha256(user_id || '|' || event_type || '|' || p) AS evidence_id FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'negative' WHEN event_id % 7 = 0 THEN 'abstain' ELSE 'positive' END AS p FROM events)",
     "silver_labels": """WITH e AS (SELECT *, CASE WHEN event_id % 5 = 0 THEN 'negative' WHEN event_id % 7 = 0 THEN 'abstain' ELSE 'positive' END AS p, round(value, 3) AS w FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY w DESC, event_id) AS rn FROM e),
@@ -208,14 +248,15 @@ SELECT user_id, CASE WHEN pos >= 60 AND neg >= 50 THEN 'abstain' WHEN pos >= 60
 CASE WHEN pos + neg > 0 THEN round(greatest(pos, neg) / (pos + neg), 6) ELSE 0.0 END AS confidence, n_evidence FROM s""",
     "template_extract": sql(TEMPLATE.format(c=60, pol="''"), select="SELECT doc_id, ss, se, ls, le, template, direction FROM tm"),
     "pattern_induce": sql(
-        TEMPLATE.format(c=0, pol="CASE WHEN doc_id % 9 = 0 THEN 'negative' ELSE 'positive' END"),
+        TEMPLATE.format(c=60, pol="CASE WHEN doc_id % 9 = 0 THEN 'negative' ELSE 'positive' END"),
         select="SELECT template, direction, count(DISTINCT doc_id) AS documents, count(DISTINCT (ss, se, ls, le)) AS pairs, CASE WHEN count(DISTINCT doc_id) >= 2 AND count(DISTINCT (ss, se, ls, le)) >= 2 THEN 'promoted' ELSE 'rejected_insufficient_support' END AS status FROM tm WHERE polarity = 'positive' AND length(template) <= 180 GROUP BY 1, 2",
     ),
     "pattern_validate": sql(
-        TEMPLATE.format(c=0, pol="CASE WHEN doc_id % 9 = 0 THEN 'negative' ELSE 'positive' END"),
-        "pt AS (SELECT DISTINCT template FROM tm WHERE polarity = 'positive' AND doc_id % 2 = 0 AND length(template) <= 180), ho AS (SELECT template AS context FROM tm WHERE doc_id % 2 = 1)",
+        TEMPLATE.format(c=60, pol="CASE WHEN doc_id % 9 = 0 THEN 'negative' ELSE 'positive' END"),
+        "pt AS (SELECT DISTINCT template FROM tm WHERE polarity = 'positive' AND doc_id % 16 < 8 AND length(template) <= 180), ho AS (SELECT template AS context FROM tm WHERE doc_id % 16 >= 8)",
         r"pp AS (SELECT template, '(?s)^' || replace(replace(regexp_escape(template), regexp_escape('<SF>'), '\S{1,40}'), regexp_escape('<LF>'), '.{1,240}?') || '$' AS pat FROM pt)",
-        select="SELECT template, (SELECT count(*) FROM ho) AS held_out, count(context) AS matched, (SELECT count(*) FROM ho) - count(context) AS missed FROM pp LEFT JOIN ho ON regexp_matches(context, pat) GROUP BY template",
+        r"ph AS MATERIALIZED (SELECT template, pat, context FROM (SELECT *, string_split(replace(template, '<LF>', '<SF>'), '<SF>') AS ends FROM pp) JOIN ho ON starts_with(context, ends[1]) AND ends_with(context, ends[-1])), pm AS (SELECT template, count(*) AS n FROM ph WHERE regexp_matches(context, pat) GROUP BY 1)",
+        select="SELECT template, (SELECT count(*) FROM ho) AS held_out, coalesce(n, 0) AS matched, (SELECT count(*) FROM ho) - coalesce(n, 0) AS missed FROM pp LEFT JOIN pm USING (template)",
     ),
     "reused_evidence": "WITH e AS (SELECT DISTINCT event_id % 40 AS stage, user_id FROM events), f AS (SELECT user_id, min(stage) AS first FROM e GROUP BY 1) SELECT stage, count(*) AS n, count(*) FILTER (WHERE first < stage) AS reused, count(*) FILTER (WHERE first < stage) = 0 AS accepted FROM e JOIN f USING (user_id) GROUP BY stage",
     "mention_link": sql(

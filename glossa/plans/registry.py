@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("q_extract", "q_features", "q_evaluate", "q_literature", "q_sources", "q_more")
+MODULES = ("q_extract", "q_features", "q_evaluate", "q_literature", "q_sources", "q_more", "q_runs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,7 +15,7 @@ from glossa.functions.text import all_occurrences
 SPAN = "struct<start:bigint,end:bigint>"
 CANONICAL = f"""record_id string, schema_version string, document struct<document_id:string,text:string>,
 gold_annotations array<struct<document_id:string,short_form:{SPAN},long_form:{SPAN},short_form_text:string,long_form_text:string>>"""
-PREDICTIONS = f"""document_id string, record_id string, resolver struct<key:string,version:string>,
+PREDICTIONS = f"""dataset_fingerprint string, document_id string, record_id string, resolver struct<key:string,version:string>,
 predictions array<struct<document_id:string,short_form:{SPAN},long_form:{SPAN},short_form_text:string,long_form_text:string>>"""
 _BIOC_ANNOTATION = "struct<_id:string,infon:array<struct<_key:string,_VALUE:string>>,location:array<struct<_offset:bigint,_length:bigint>>,text:string>"
 BIOC_DOCUMENT = f"""id string, passage array<struct<offset:bigint,text:string,annotation:array<{_BIOC_ANNOTATION}>,
