@@ -15,37 +15,41 @@ from glossa.plans.q_extract import SH, sql
 from glossa.plans.q_literature import PICK
 
 KEY = e.KEY
-I = F.col("doc_id")  # noqa: E741
+
+
+def every(n: int):
+    """doc_id modulo n, as a column."""
+    return F.col("doc_id") % n
 
 
 def cases(s: SparkSession, d: str) -> DataFrame:
     """Documents of the derived corpus as cases."""
-    kind, arm = F.when(I % 6 == 0, "table_or_list").otherwise("prose"), F.when(I % 2 == 0, "pubmed_abstract").otherwise("pmc")
-    return corpus(s, d).select(I.alias("case_id"), "text", kind.alias("source_kind"), arm.alias("arm"), F.floor(I / 4).cast("long").alias("group"))
+    kind, arm = F.when(every(6) == 0, "table_or_list").otherwise("prose"), F.when(every(2) == 0, "pubmed_abstract").otherwise("pmc")
+    return corpus(s, d).select(F.col("doc_id").alias("case_id"), "text", kind.alias("source_kind"), arm.alias("arm"), F.floor(F.col("doc_id") / 4).cast("long").alias("group"))
 
 
 def decisions(s: SparkSession, d: str) -> DataFrame:
     """Gold definitions as reviewers' decisions, in all the ways a decision can be; some definitions twice."""
     g = gold(s, d)
-    pick = lambda n, *pairs: F.coalesce(*[F.when(I % n == k, v) for k, v in pairs[:-1]], F.lit(pairs[-1]))
+    pick = lambda n, *pairs: F.coalesce(*[F.when(every(n) == k, v) for k, v in pairs[:-1]], F.lit(pairs[-1]))
     one = g.select(
-        I.alias("case_id"), F.lit(1).cast("long").alias("decision_id"), pick(9, (0, "incorrect"), (1, "unsure"), "correct").alias("status"), pick(5, (0, "added"), (1, "corrected"), "assisted").alias("origin"),
-        "ss", "se", F.when(I % 11 != 0, F.col("ls")).alias("ls"), F.when(I % 11 != 0, F.col("le")).alias("le"), F.when(I % 7 == 0, F.concat(F.lit(" "), "sf")).otherwise(F.col("sf")).alias("sf"), "lf",
-        pick(13, (0, "uncertain"), (1, "other_naming_or_code_relation"), "abbreviation").alias("relation_kind"), (I % 17 == 0).alias("source_error"), pick(19, (0, "uncertain"), (1, "discontinuous"), "contiguous").alias("evidence_structure"),
-        pick(23, (0, "uncertain"), (1, "figure"), "text_alone").alias("context_requirement"), F.when(I % 12 == 0, F.lit("seen twice ")).otherwise("").alias("notes"),
+        F.col("doc_id").alias("case_id"), F.lit(1).cast("long").alias("decision_id"), pick(9, (0, "incorrect"), (1, "unsure"), "correct").alias("status"), pick(5, (0, "added"), (1, "corrected"), "assisted").alias("origin"),
+        "ss", "se", F.when(every(11) != 0, F.col("ls")).alias("ls"), F.when(every(11) != 0, F.col("le")).alias("le"), F.when(every(7) == 0, F.concat(F.lit(" "), "sf")).otherwise(F.col("sf")).alias("sf"), "lf",
+        pick(13, (0, "uncertain"), (1, "other_naming_or_code_relation"), "abbreviation").alias("relation_kind"), (every(17) == 0).alias("source_error"), pick(19, (0, "uncertain"), (1, "discontinuous"), "contiguous").alias("evidence_structure"),
+        pick(23, (0, "uncertain"), (1, "figure"), "text_alone").alias("context_requirement"), F.when(every(12) == 0, F.lit("seen twice ")).otherwise("").alias("notes"),
     )
     return one.unionByName(one.filter("case_id % 10 = 3").withColumn("decision_id", F.lit(2).cast("long")))
 
 
 def states(s: SparkSession, d: str) -> DataFrame:
-    return corpus(s, d).filter(I % 3 != 0).select(I.alias("case_id"), F.when(I % 5 == 2, "found").otherwise("none").alias("missed_definition"))
+    return corpus(s, d).filter(every(3) != 0).select(F.col("doc_id").alias("case_id"), F.when(every(5) == 2, "found").otherwise("none").alias("missed_definition"))
 
 
 def noisy(s: SparkSession, d: str) -> DataFrame:
     """Gold with white space around captured forms, and ends beyond the text."""
     g = gold(s, d)
-    sf, lf = F.when(I % 3 == 0, F.concat(F.lit(" "), "sf")).otherwise(F.col("sf")), F.when(I % 4 == 0, F.concat("lf", F.lit("\n"))).otherwise(F.col("lf"))
-    return g.withColumn("sf", sf).withColumn("lf", lf).withColumn("le", F.when(I % 17 == 0, F.lit(10_000_000)).otherwise(F.col("le")))
+    sf, lf = F.when(every(3) == 0, F.concat(F.lit(" "), "sf")).otherwise(F.col("sf")), F.when(every(4) == 0, F.concat("lf", F.lit("\n"))).otherwise(F.col("lf"))
+    return g.withColumn("sf", sf).withColumn("lf", lf).withColumn("le", F.when(every(17) == 0, F.lit(10_000_000)).otherwise(F.col("le")))
 
 
 def built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,7 +58,7 @@ def built(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def choices(s: SparkSession, d: str) -> DataFrame:
     p = F.round(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("d"), "doc_id"), 256), 1, 8), 16, 10).cast("double") / float(1 << 32), 6)
-    choice = F.when(I % 5 == 0, "not_definition").when(I % 3 == 0, "reverse").otherwise("forward")
+    choice = F.when(every(5) == 0, "not_definition").when(every(3) == 0, "reverse").otherwise("forward")
     return gold(s, d).select(*KEY, choice.alias("choice"), p.alias("probability"))
 
 
