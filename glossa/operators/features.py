@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions.lineage import checkpoint
 from glossa.functions.text import WORD_CHARS, count_of, flag, occurrences, ratio, text_at
 
+#: A lexicon of up to this many rows is broadcast, as a count has checked.
+BROADCAST_ROWS = 100_000
 LETTER, UPPER, LOWER = r"\p{L}", r"\p{Lu}", r"\p{Ll}"
 
 
@@ -102,16 +105,20 @@ def parenthetical_metadata(labels: tuple[str, ...] = ("parenthetical", "nested",
 
 
 def lexicon_evidence(rows: DataFrame, lexicon: DataFrame, context: int = 80) -> DataFrame:
-    """Per candidate: variants, sources, agreement, long_forms, total, exact_pair, short_nearby; lexicon has a ``source_label``."""
+    """Per candidate: variants, sources, agreement, long_forms, total, exact_pair, short_nearby; lexicon has a ``source_label``.
+
+    Candidates meet a small lexicon where they are, and only numbers and the few labels of a form's variants are gathered, not the context.
+    """
     key = ["doc_id", "ss", "se", "ls", "le"]
     near = text_at(F.col("text"), F.greatest(F.col("ls") - context, F.lit(0)), F.col("le") + context)
     r = rows.select(*key, "short", "long", near.alias("near")).withColumn("sf_key", F.lower("short"))
-    j = r.join(lexicon, "sf_key", "left")
+    kept = checkpoint(lexicon.select("sf_key", "sf_raw", "lf_raw", "lf_key", "n", "source_label"))
+    j = r.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "sf_key", "left")
     hit = F.col("lf_raw").isNotNull()
     pair = hit & ((F.col("long") == F.col("lf_raw")) | (F.lower("long") == F.col("lf_key")))
     n = F.when(hit, F.size(occurrences(F.col("near"), F.col("sf_raw")))).otherwise(0)
     out = j.groupBy(*key).agg(
-        F.count("lf_raw").alias("variants"), F.count_distinct("source_label").alias("sources"), F.count_distinct("lf_key").alias("long_forms"),
+        F.count("lf_raw").alias("variants"), F.size(F.collect_set("source_label")).cast("long").alias("sources"), F.size(F.collect_set("lf_key")).cast("long").alias("long_forms"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max(flag(pair)).alias("exact_pair"), F.sum(n).alias("short_nearby"),
     )
     return out.withColumn("agreement", flag(F.col("sources") > 1))
