@@ -88,17 +88,22 @@ def hash_rank(df: DataFrame, digest: Column, name: str = "rank") -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b), root the smallest node reachable: alternating stars until nothing changes."""
+    """(node, root) for every node of the links (a, b), root the smallest node reachable: alternating stars until nothing changes.
+
+    Where there are enough edges for a hub to matter, nodes with very many are broadcast to their edges instead of joined in one task.
+    """
     edges = checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    about = [F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))]
+    state = edges.agg(*about).first()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c")).select("a", F.least("a", "m").alias("m"), "c")
+        met = skew_join(both, checkpoint(low), ["a"], "c", "inner") if state[0] > MAX_HOT else both.join(low, "a")
+        up = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = up.groupBy("a").agg(F.min("b").alias("m"))
         down = up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         edges = checkpoint(down.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
+        now = edges.agg(*about).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now

@@ -128,6 +128,12 @@ def all_occurrences(text: Column, needle: Column) -> Column:
     return F.when(F.length(needle) == 0, F.array().cast("array<bigint>")).otherwise(found)
 
 
+def place(text: Column, needle: Column) -> tuple[Column, Column]:
+    """Offset of the first occurrence of needle (null without one, and for an empty needle), and whether there is another, maybe overlapping it."""
+    first = F.when(F.length(needle) > 0, F.call_function("locate", needle, text, F.lit(1)))
+    return F.when(first > 0, first - 1), F.when(first > 0, F.call_function("locate", needle, text, first + 1) > 0).otherwise(False)
+
+
 def matches(text: Column, pattern: Column) -> Column:
     """array<struct<s, e>>: the spans of all matches of a pattern that never matches nothing."""
     parts = F.split(text, pattern, -1)

@@ -28,13 +28,16 @@ def lcs(a: Column, b: Column) -> Column:
     zero = F.transform(right, lambda _: F.lit(0))
 
     def row(prev: Column, ch: Column) -> Column:
-        def cell(acc: Column, i: Column) -> Column:
-            up, diagonal = F.get(prev, i), F.when(i > 0, F.get(prev, i - 1)).otherwise(F.lit(0))
-            best = F.when(F.get(right, i) == ch, diagonal + 1).otherwise(F.greatest(up, acc["left"]))
+        # each cell with what stands above it and before that, so that no cell looks anything up
+        before = F.slice(F.concat(F.array(F.lit(0)), prev), F.lit(1), F.size(prev))
+        above = F.zip_with(prev, before, lambda up, diagonal: F.struct(up.alias("up"), diagonal.alias("diagonal")))
+        cells = F.zip_with(right, above, lambda c, x: F.struct(c.alias("c"), x["up"].alias("up"), x["diagonal"].alias("diagonal")))
+
+        def cell(acc: Column, x: Column) -> Column:
+            best = F.when(x["c"] == ch, x["diagonal"] + 1).otherwise(F.greatest(x["up"], acc["left"]))
             return F.struct(best.alias("left"), F.concat(acc["out"], F.array(best)).alias("out"))
 
-        steps = F.when(F.size(right) > 0, F.sequence(F.lit(0), F.size(right) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("out")), cell, lambda s: s["out"])
+        return F.aggregate(cells, F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("out")), cell, lambda s: s["out"])
 
     return F.coalesce(F.array_max(F.aggregate(chars(a), zero, row)), F.lit(0))
 
@@ -42,8 +45,11 @@ def lcs(a: Column, b: Column) -> Column:
 def alignment() -> dict[str, Column]:
     norm = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
     a, b = norm(F.col("short")), norm(F.col("long"))
-    n = lcs(a, b)
-    return {"lcs": n.cast("double"), "lcs_short": ratio(n, F.length(a)), "lcs_long": ratio(n, F.length(b)), "length_ratio": ratio(F.length(a), F.length(b)), "equal": flag(a == b)}
+    # the subsequence is found once per row; the ratios are taken from the number
+    found = F.transform(F.array(F.struct(lcs(a, b).alias("n"), F.length(a).alias("a"), F.length(b).alias("b"))), lambda x: x)
+    of = F.get(found, F.lit(0))
+    n = of["n"]
+    return {"lcs": n.cast("double"), "lcs_short": ratio(n, of["a"]), "lcs_long": ratio(n, of["b"]), "length_ratio": ratio(F.length(a), F.length(b)), "equal": flag(a == b)}
 
 
 def token_counts() -> dict[str, Column]:

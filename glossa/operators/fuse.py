@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import all_occurrences, occurrences, text_at
+from glossa.functions.text import occurrences, place, text_at
 
 KEY = ["doc_id", "ss", "se", "ls", "le"]
 
@@ -127,16 +127,17 @@ def direct_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     q = pairs.join(docs.select("doc_id", "text"), "doc_id")
     quote = F.col("mode") == "quote"
-    found = lambda hay, needle: F.when(quote, all_occurrences(F.col(hay), F.col(needle)))
-    q = q.withColumn("at", found("text", "evidence")).withColumn("so", found("evidence", "sf")).withColumn("lo", found("evidence", "lf"))
-    forms = (F.size("so") == 1) & (F.size("lo") == 1) & ((F.get("so", F.lit(0)) != F.get("lo", F.lit(0))) | (F.length("sf") != F.length("lf")))
+    for name, hay, needle in (("a", "text", "evidence"), ("b", "evidence", "sf"), ("c", "evidence", "lf")):
+        at, again = place(F.col(hay), F.col(needle))
+        q = q.withColumn(name, F.when(quote, at)).withColumn(f"{name}2", again)
+    forms = F.col("b").isNotNull() & F.col("c").isNotNull() & ~F.col("b2") & ~F.col("c2") & ((F.col("b") != F.col("c")) | (F.length("sf") != F.length("lf")))
     failed = (
-        F.when(F.size("at") == 0, "evidence_quote is not an exact source substring").when(~forms, "evidence_quote does not contain exactly one occurrence of each form")
-        .when(F.size("at") > 1, "evidence_quote identifies more than one source occurrence")
+        F.when(F.col("a").isNull(), "evidence_quote is not an exact source substring").when(~forms, "evidence_quote does not contain exactly one occurrence of each form")
+        .when(F.col("a2"), "evidence_quote identifies more than one source occurrence")
     )
-    base = F.get("at", F.lit(0))
-    start = lambda c, given: F.when(quote & failed.isNull(), base + F.get(c, F.lit(0))).when(~quote, F.col(given))
-    q = q.withColumn("s1", start("so", "ss")).withColumn("l1", start("lo", "ls")).withColumn("failed", F.when(quote, failed))
+    q = q.withColumn("failed", F.when(quote, failed))
+    start = lambda c, given: F.when(quote & F.col("failed").isNull(), F.col("a") + F.col(c)).when(~quote, F.col(given))
+    q = q.withColumn("s1", start("b", "ss")).withColumn("l1", start("c", "ls"))
     q = q.withColumn("s2", F.when(quote, F.col("s1") + F.length("sf")).otherwise(F.col("se"))).withColumn("l2", F.when(quote, F.col("l1") + F.length("lf")).otherwise(F.col("le")))
 
     def wrong(side: str, s: str, e: str, form: str) -> list[tuple[Column, str]]:
@@ -155,12 +156,12 @@ def direct_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     reason = F.coalesce("failed", F.when(code == "unsupported_output", problem))
     spans = [F.col(c).cast("long").alias(n) for c, n in zip(("s1", "s2", "l1", "l2"), KEY[1:], strict=True)]
     judged = q.select("doc_id", "i", *spans, code.alias("code"), reason.alias("reason"))
-    good = judged.filter("code IS NULL").withColumn("rn", F.row_number().over(Window.partitionBy(*KEY).orderBy("i")))
-    good = good.withColumn("code", F.when(F.col("rn") == 1, "accepted").otherwise("duplicate_output")).drop("rn")
+    again = F.row_number().over(Window.partitionBy(*KEY, F.col("code").isNull()).orderBy("i")) > 1
+    judged = judged.withColumn("again", again).withColumn("code", F.coalesce("code", F.when(F.col("again"), "duplicate_output").otherwise("accepted"))).drop("again")
     silent = docs.select("doc_id").join(pairs.select("doc_id").distinct(), "doc_id", "left_anti")
     none = [F.lit(None).cast(judged.schema[c].dataType).alias(c) for c in ("i", *KEY[1:])]
     silent = silent.select("doc_id", *none, F.lit("abstained").alias("code"), F.lit(None).cast("string").alias("reason"))
-    return good.unionByName(judged.filter("code IS NOT NULL")).unionByName(silent)
+    return judged.unionByName(silent)
 
 
 def ground_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import all_occurrences, occurrences, text_at
+from glossa.functions.text import occurrences, place, text_at
 from glossa.operators.evaluate import KEY, exact_pair, prf, rounded
 
 
@@ -83,8 +83,8 @@ def abbreviation_tokens(docs: DataFrame) -> DataFrame:
 def mapping_loss(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """role, cause, n: why a form can't be placed: absent from the text, or repeated in it."""
     forms = pairs.select("doc_id", F.inline(F.array(F.struct(F.lit("short").alias("role"), F.col("sf").alias("form")), F.struct(F.lit("long").alias("role"), F.col("lf").alias("form")))))
-    n = F.size(all_occurrences(F.col("text"), F.col("form")))
-    cause = F.when(n == 0, "absent").when(n == 1, "mapped").otherwise("repeated")
+    at, again = place(F.col("text"), F.col("form"))
+    cause = F.when(at.isNull(), "absent").when(again, "repeated").otherwise("mapped")
     return forms.join(docs.select("doc_id", "text"), "doc_id").groupBy("role", cause.alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 
 

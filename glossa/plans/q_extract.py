@@ -39,6 +39,9 @@ q AS (SELECT *, string_split(after, ')')[1] AS content, open AS before, 12 AS mo
 nest AS (SELECT doc_id, open + 1 AS ss, open + 1 + length(content) AS se, wstart AS ls, wend AS le FROM lw
   WHERE regexp_full_match(regexp_replace(content, '^\s+|\s+$', '', 'g'), '[A-Za-z][A-Za-z0-9-]{1,29}'))"""
 
+#: The same beside another use of its helper relations.
+AGAIN = NESTED.replace("\nq AS (", "\nq2 AS (").replace("FROM q)", "FROM q2)").replace("lw0", "lv0").replace("lw1", "lv1").replace("lw AS", "lv AS").replace("FROM lw\n", "FROM lv\n")
+
 #: Offsets of all non-overlapping occurrences; needs text and needle expressions.
 OCC = "list_transform(range(1, len(string_split({t}, {n}))), lambda i: (list_sum(list_transform(string_split({t}, {n})[1:i], lambda p: length(p))) + (i - 1) * length({n}))::BIGINT)"
 
@@ -111,7 +114,7 @@ t1 AS (SELECT *, length(regexp_extract(back, '^\s*')) AS gap, length(regexp_extr
     "cand_table": sql(TABLE, select=S5 + "tab"),
     "cand_lexical": sql(LEXICAL, select=S5 + "lex"),
     "cand_dedup": "WITH "
-    + ",\n".join([CORPUS, PARENS, JUDGED, LEXICAL, TABLE, NESTED.replace("\nq AS (", "\nq2 AS (").replace("FROM q)", "FROM q2)").replace("lw0", "lv0").replace("lw1", "lv1").replace("lw AS", "lv AS").replace("FROM lw\n", "FROM lv\n")])
+    + ",\n".join([CORPUS, PARENS, JUDGED, LEXICAL, TABLE, AGAIN])
     + """, every AS (SELECT *, 'parenthetical' AS generator, 0 AS o FROM cand UNION ALL SELECT *, 'nested', 1 FROM nest
 UNION ALL SELECT *, 'lexical', 2 FROM lex UNION ALL SELECT *, 'table', 3 FROM tab)
 SELECT doc_id, ss, se, ls, le, arg_min(generator, o) AS generator FROM every GROUP BY doc_id, ss, se, ls, le""",

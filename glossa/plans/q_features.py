@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators import features as f
 from glossa.operators import learn
-from glossa.operators.extract import nested_parenthetical, parenthetical, reverse_order, schwartz_hearst
+from glossa.operators.extract import nested_parenthetical, parenthetical, reverse_order
 from glossa.plans.corpus import PARENS, corpus, gold, lexicon, table
-from glossa.plans.q_extract import JUDGED, NESTED, OCC, REVERSE, SH, sql
+from glossa.plans.q_extract import AGAIN, JUDGED, REVERSE, sql
 
 KEEP = ["doc_id", "ss", "se", "ls", "le"]
 
 
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    """Candidates of the derived corpus with their texts: the extractor's and the reversed ones."""
+    """Candidates of the derived corpus with their texts, of three generators."""
     c = corpus(s, d)
-    rows = schwartz_hearst(c).select(*KEEP, F.lit("parenthetical").alias("generator")).unionByName(reverse_order(c).select(*KEEP, F.lit("reverse").alias("generator")))
+    made = {"parenthetical": parenthetical(c), "reverse": reverse_order(c), "nested": nested_parenthetical(c)}
+    rows = reduce(DataFrame.unionByName, [df.select(*KEEP, F.lit(n).alias("generator")) for n, df in made.items()])
     return f.with_texts(rows, c)
 
 
@@ -29,9 +32,9 @@ def features(*make) -> object:
     return lambda s, d: rounded(f.feature_set(candidates(s, d), [m() for m in make], KEEP), KEEP)
 
 
-CAND = SH + ",\n" + REVERSE + r""",
+CAND = JUDGED + ",\n" + REVERSE + ",\n" + AGAIN + r""",
 cs AS (SELECT *, substr(text, ss + 1, se - ss) AS short, substr(text, ls + 1, le - ls) AS long FROM (
-  SELECT doc_id, ss, se, ls, le, 'parenthetical' AS generator FROM sh UNION ALL SELECT doc_id, ss, se, ls, le, 'reverse' FROM rev) JOIN (SELECT doc_id, text FROM corpus) USING (doc_id))"""
+  SELECT doc_id, ss, se, ls, le, 'parenthetical' AS generator FROM cand UNION ALL SELECT doc_id, ss, se, ls, le, 'reverse' FROM rev UNION ALL SELECT doc_id, ss, se, ls, le, 'nested' FROM nest) JOIN (SELECT doc_id, text FROM corpus) USING (doc_id))"""
 K = "doc_id, ss, se, ls, le"
 
 
@@ -124,10 +127,10 @@ def fit_rows(s: SparkSession, d: str) -> DataFrame:
 
 #: Longest common subsequences, a character of the short form per step: cell j of a row is the best of the cell above and, over the
 #: characters up to j that equal the new one, the cell before it above, and one.
-LCS = r"""nm AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, ss, se, ls, le, lower(regexp_replace(short, '[^\p{L}\p{N}]', '', 'g')) AS a, lower(regexp_replace(long, '[^\p{L}\p{N}]', '', 'g')) AS b FROM cs),
-lr AS (SELECT id, 0 AS i, CASE WHEN a = '' THEN []::VARCHAR[] ELSE string_split(a, '') END AS xs, CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END AS ys, list_transform(CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END, lambda x: 0::BIGINT) AS prev FROM nm
+LCS = r"""nf AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, ss, se, ls, le, lower(replace(regexp_replace(short, '[^\p{L}\p{N}]', '', 'g'), 'İ', 'i' || chr(775))) AS a, lower(replace(regexp_replace(long, '[^\p{L}\p{N}]', '', 'g'), 'İ', 'i' || chr(775))) AS b FROM cs),
+lr AS (SELECT id, 0 AS i, CASE WHEN a = '' THEN []::VARCHAR[] ELSE string_split(a, '') END AS xs, CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END AS ys, list_transform(CASE WHEN b = '' THEN []::VARCHAR[] ELSE string_split(b, '') END, lambda x: 0::BIGINT) AS prev FROM nf
   UNION ALL SELECT id, i + 1, xs, ys, list_transform(range(1, len(ys) + 1), lambda j: greatest(prev[j], list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN ys[k] = xs[i + 1] THEN 1 + CASE WHEN k > 1 THEN prev[k - 1] ELSE 0 END ELSE 0 END)))) FROM lr WHERE i < len(xs)),
-lc AS (SELECT nm.*, coalesce(list_max(prev), 0)::DOUBLE AS n FROM lr JOIN nm USING (id) WHERE i = len(xs))"""
+lc AS (SELECT nf.*, coalesce(list_max(prev), 0)::DOUBLE AS n FROM lr JOIN nf USING (id) WHERE i = len(xs))"""
 
 ORACLE_SQL = {
     "feat_lcs": sql(PARENS, CAND, LCS, select=f"SELECT {K}, n AS lcs, {r('n', 'length(a)')} AS lcs_short, {r('n', 'length(b)')} AS lcs_long, {r('length(a)', 'length(b)')} AS length_ratio, {fl('a = b')} AS equal FROM lc").replace("WITH ", "WITH RECURSIVE ", 1),
