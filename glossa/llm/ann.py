@@ -33,7 +33,7 @@ SAMPLE = 1000
 #: Rows (with their copies) per partition, rows of a bucket per piece, and the largest number of buckets cut into pieces.
 PARTITION_ROWS, BUCKET_ROWS, MAX_CUT = 65_536, 4096, 200_000
 #: Queries handled at a time; rows compared exactly at a time.
-QUERY_BATCH, PAIRS = 128, 1 << 17
+QUERY_BATCH, PAIRS = 64, 1 << 17
 
 
 def _clean(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -157,14 +157,25 @@ def _top(query: np.ndarray, distance: np.ndarray, vec: np.ndarray, uid: np.ndarr
 _FOUND = "query_id long, uid long, vec_id long, score double, n_compared long"
 
 
-def _found(q_ids: np.ndarray, query: np.ndarray, distance: np.ndarray, vec: np.ndarray, uid: np.ndarray, k: int) -> pa.RecordBatch:
+def _found(q_ids: np.ndarray, compared: np.ndarray, query: np.ndarray, distance: np.ndarray, vec: np.ndarray, uid: np.ndarray, k: int) -> pa.RecordBatch:
     """The k nearest of each query, and with the first of them how many rows were compared."""
     best = _top(query, distance, vec, uid, k)
     asked = query[best]
     first = np.ones(len(best), bool)
     first[1:] = np.diff(asked) != 0
-    compared = np.where(first, np.bincount(query, minlength=len(q_ids))[asked], 0)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (q_ids[asked], uid[best], vec[best], distance[best], compared)], names=["query_id", "uid", "vec_id", "score", "n_compared"])
+    columns = (q_ids[asked], uid[best], vec[best], distance[best], np.where(first, compared[asked], 0))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "uid", "vec_id", "score", "n_compared"])
+
+
+def _closest(x: np.ndarray, q: np.ndarray, hit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of ``hit`` that can be among the k nearest: by squared distances from one matrix product, with room for its rounding."""
+    sx, sq = (x**2).sum(1), (q**2).sum(1)
+    most = sx.max(initial=0) + sq.max(initial=0)
+    if hit.shape[1] > k and most < 1e300:
+        rough = sx[None, :] - 2 * (q @ x.T)
+        rough[~hit] = np.inf
+        hit = hit & (rough <= np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 1e-9 * most)
+    return np.nonzero(hit)
 
 
 def _measured(rows: np.ndarray, queries: np.ndarray, asker: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -220,12 +231,11 @@ class _Index:
         at, asker = at[hit], asker[hit]
         size = self.size[at]
         within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        n = len(self.uid)
-        pair = np.unique(np.repeat(asker, size) * n + self.row[np.repeat(self.first[at], size) + within])
-        asker, row = pair // n, pair % n
-        other = self.id[row] != q_ids[asker]
-        asker, row = asker[other], row[other]
-        return _found(q_ids, asker, _measured(self.x, q, asker, row), self.id[row], self.uid[row], k)
+        hit = np.zeros((len(q), len(self.uid)), bool)
+        hit[np.repeat(asker, size), self.row[np.repeat(self.first[at], size) + within]] = True
+        hit &= self.id[None, :] != q_ids[:, None]
+        asker, row = _closest(self.x, q, hit, k)
+        return _found(q_ids, hit.sum(1), asker, _measured(self.x, q, asker, row), self.id[row], self.uid[row], k)
 
 
 def _cells(blobs: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -251,9 +261,10 @@ def _exhaustive(clean: DataFrame, short: DataFrame, k: int, block: int = 4096) -
                     x = _matrix(rows.column("v"))
                     for s in range(0, len(q_ids), QUERY_BATCH):
                         mine = q_ids[s : s + QUERY_BATCH]
-                        asker, row = np.nonzero(mine[:, None] != ids[None, :])
+                        hit = mine[:, None] != ids[None, :]
+                        asker, row = _closest(x, q[s : s + QUERY_BATCH], hit, k)
                         if len(row):
-                            yield _found(mine, asker, _measured(x, q[s : s + QUERY_BATCH], asker, row), ids[row], uid[row], k)
+                            yield _found(mine, hit.sum(1), asker, _measured(x, q[s : s + QUERY_BATCH], asker, row), ids[row], uid[row], k)
 
         part = _ranked(clean.mapInArrow(run, _FOUND), k)
         out = part if out is None else out.unionByName(part)
