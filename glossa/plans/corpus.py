@@ -49,11 +49,13 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = F.expr("CASE kind WHEN 0 THEN n + 1 WHEN 1 THEN n + k + 3 WHEN 3 THEN n + 5 WHEN 4 THEN n + 1 WHEN 5 THEN n + 2 WHEN 6 THEN k + 1 WHEN 7 THEN n + 1 END")
     ss = F.expr("CASE kind WHEN 0 THEN n + m + 3 WHEN 1 THEN n + 1 WHEN 3 THEN n + m + 8 WHEN 4 THEN n + m + 3 WHEN 5 THEN n + m + 4 WHEN 6 THEN 0 WHEN 7 THEN n + m + 3 END")
     w = w.withColumn("ls", ls.cast("long")).withColumn("ss", ss.cast("long"))
-    return w.select(
-        "doc_id", F.when(F.col("kind").isNull(), F.col("body")).otherwise(F.concat(form, F.lit("\n"), "body")).alias("text"), "kind", "source", "lang",
-        F.when(F.col("ss").isNotNull(), F.col("sf")).alias("sf"), F.when(F.col("ss").isNotNull(), F.col("lf")).alias("lf"),
+    there = F.col("ss").isNotNull()
+    made = F.struct(
+        F.when(F.col("kind").isNull(), F.col("body")).otherwise(F.concat(form, F.lit("\n"), "body")).alias("text"), "kind", F.when(there, F.col("sf")).alias("sf"), F.when(there, F.col("lf")).alias("lf"),
         "ss", (F.col("ss") + F.col("k")).alias("se"), "ls", (F.col("ls") + F.col("m")).alias("le"),
     )
+    # a generator of one row: conditions on what was made are tested on it, and not by making it again before
+    return w.select("doc_id", "source", "lang", F.inline(F.array(made)))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
