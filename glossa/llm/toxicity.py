@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, doc_id: str = "d
     h = F.xxhash64(F.lit("unlabelled"), "doc_id")
     share = 0.95 * MAX_UNLABELLED / max(1, rows.count())
     unlabelled = rows.filter(h / float(1 << 64) + 0.5 <= share).orderBy(h, "doc_id", fp).limit(MAX_UNLABELLED)
-    sample = checkpoint(positives.withColumn("y", F.lit(1)).unionByName(unlabelled.withColumn("y", F.lit(0))).repartition(32, fp))
+    sample = checkpoint(positives.withColumn("y", F.lit(1)).unionByName(unlabelled.withColumn("y", F.lit(0))).repartition(32))
     texts_of = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
