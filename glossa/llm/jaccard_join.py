@@ -209,6 +209,8 @@ class Region:
 
     def overlap(self, p: int, members: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of p with each member, exactly."""
+        if not len(members):
+            return np.zeros(0, np.int64)
         own = self.tokens[p]
         flat = np.concatenate([self.tokens[i] for i in members])
         at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
