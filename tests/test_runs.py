@@ -241,3 +241,26 @@ def test_artifacts_and_file_checks(spark, tmp_path):
     (tmp_path / "b.txt").write_text("b")
     said = spark.createDataFrame([("a.txt", hashlib.sha256(b"a").hexdigest()), ("b.txt", "0"), ("c.txt", "0")], "file string, sha256 string")
     assert {(r.file, r.problem) for r in sinks.verify_files(spark, str(tmp_path), said).collect()} == {("b.txt", "changed"), ("c.txt", "missing")}
+
+
+def test_ledger_stream_and_error_tables(spark, tmp_path):
+    from glossa.streaming.extract import ledger_stream
+
+    rows = [(1, "a", 1, "2024-01-01 00:00:00"), (1, "a", 1, "2024-01-01 00:10:00"), (2, "a", 1, "2024-01-01 00:20:00")]
+    df = spark.createDataFrame(rows, "user_id long, event_type string, event_id long, t string").select("user_id", "event_type", "event_id", F.to_timestamp("t").alias("ts"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ledger_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    sinks.write_errors(df.select("user_id", "event_type"), str(tmp_path / "errors"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "errors")).columns == ["user_id", "event_type"]
+
+
+def test_groups_have_one_official_split(spark):
+    schema = "record_id long, source_kind string, available boolean, teacher_overlap string, tag string, official_split string"
+    frame = spark.createDataFrame([(1, "a", True, "no", None, "train"), (2, "a", True, "no", None, "test")], schema)
+    groups = spark.createDataFrame([(1, 1), (2, 2)], "record_id long, root long")
+    assert literature.roll_up(frame, groups).count() == 2
+    with pytest.raises(Exception, match="official splits"):
+        literature.roll_up(frame, groups.withColumn("root", F.lit(1))).collect()
