@@ -154,7 +154,7 @@ def roll_up(frame: DataFrame, groups: DataFrame) -> DataFrame:
     f = frame.join(groups, "record_id")
     if "official_split" in frame.columns:
         splits = F.size(F.collect_set("official_split").over(Window.partitionBy("root")))
-        f = f.filter(F.assert_true(splits <= 1, F.lit("a group has several official splits")).isNull())
+        f = f.withColumn("splits", splits).filter(F.assert_true(F.col("splits") <= 1, F.lit("a group has several official splits")).isNull()).drop("splits")
     key = F.concat(F.lit("record:"), F.col("record_id").cast("string"))
     level = F.when(F.col("teacher_overlap") == "yes", 2).when(F.col("teacher_overlap") == "unknown", 1).otherwise(0)
     g = f.groupBy("root").agg(
