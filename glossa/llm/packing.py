@@ -179,7 +179,7 @@ def pack_sequences(
     id alone. Only documents over ``length`` are cut. ``max_docs`` and ``max_attention`` bound a sequence's
     pieces and the sum of their squared lengths (a piece that alone exceeds the latter has a sequence of its own); None:
     no bound beyond the length. Pieces in a sequence lie without gaps from offset 0. Repeated rows are packed
-    each; an empty table gives an empty result; other columns are ignored.
+    each; an empty table gives an empty result; other columns are ignored. Long texts count whole.
     """
     pieces = checkpoint(cut_pieces(docs, tokenizer_path, length, doc_id, text))
     groups = max(1, -(-pieces.count() // GROUP))
