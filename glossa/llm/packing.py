@@ -104,7 +104,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, doc_i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, serial = WordIds(tokenizer_path), 0
-        for batch in slices(batches, most=6 << 20):
+        for batch in slices(batches, most=3 << 20):
             ids, offsets = ids_of(filled(batch.column("text")))
             n = len(offsets) - 1
             sizes = np.diff(offsets) + 1

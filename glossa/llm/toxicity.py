@@ -24,6 +24,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
 MIN_DOCUMENTS = 2
 #: A feature's share in confirmed texts over its share in unlabelled ones must surely exceed RATIO, or this power of the largest ratio there can be.
 RATIO, POWER = 4, 0.63
+#: Text bytes scored at a time.
+SLICE = 5 << 19
 ROUNDS, RATE, DECAY = 150, 0.05, 3e-4
 EDGES = ".,;:!?\"'()[]{}<>|-_*#%&/\\–—…«»“”‘’¡¿"
 THRESHOLD = 0.3
@@ -164,7 +166,7 @@ def scorer(model: Model):
     """A pandas-free scoring function over record batches with columns doc_id and text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_sigmoid(model.logits(batch)))], names=["doc_id", "score"])
 
     return run
@@ -194,7 +196,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: Column, threshold
     position = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, docs_text):
+        for batch in slices(batches, docs_text, SLICE):
             scored = pa.RecordBatch.from_arrays([batch.column(position)], names=["text"])
             yield batch.filter(pa.array(_sigmoid(model.logits(scored)) < threshold))
 
