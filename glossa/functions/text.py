@@ -115,9 +115,9 @@ def last_words(text: Column, before: Column, most: Column) -> Column:
 def occurrences(text: Column, needle: Column) -> Column:
     """Offsets of all occurrences of needle, without overlaps, from the left; empty for an empty needle."""
     parts = F.split(text, quoted(needle), -1)
-    at = starts(F.transform(parts, lambda p: F.length(p) + F.length(needle)))
-    found = F.zip_with(at, parts, lambda x, p: (x + F.length(p)).cast("long"))
-    return F.when(F.length(needle) == 0, F.array().cast("array<bigint>")).otherwise(F.slice(found, F.lit(1), F.size(found) - 1))
+    # the part after an occurrence starts where it ends; the text is split once
+    after = F.slice(starts(F.transform(parts, lambda p: F.length(p) + F.length(needle))), F.lit(2), F.lit(1 << 30))
+    return F.when(F.length(needle) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(after, lambda x: x - F.length(needle)))
 
 
 def all_occurrences(text: Column, needle: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.lineage import checkpoint
-from glossa.functions.text import SHORT_FORM, WORD, backwards, fold, last_words, occurrences, openings, scan, strip, text_at
+from glossa.functions.text import SHORT_FORM, WORD, backwards, fold, last_words, occurrences, openings, scan, starts, strip, text_at
 
 SPANS = ["doc_id", "ss", "se", "ls", "le"]
 
@@ -143,30 +143,67 @@ def table_rows(docs: DataFrame, max_cell: int = 500) -> DataFrame:
     return pairs.select("doc_id", _long(ss, "ss"), _long(ss + F.length("sf"), "se"), _long(ls, "ls"), _long(ls + F.length("lf"), "le"))
 
 
-def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240) -> DataFrame:
-    """doc_id, ss, se, ls, le: lexicon pairs whose raw forms both occur in the text, starts at most ``max_window`` apart."""
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))
-    tokens = docs.select("doc_id", F.explode(F.transform(found, F.lower)).alias("sf_key"))
-    pairs = checkpoint(lexicon.select("sf_key", "sf_raw", "lf_raw"))
-    # tokens meet a small list where they are; only hits, and then only texts with hits, move
-    hits = tokens.join(_small(pairs), "sf_key").groupBy("doc_id").agg(F.collect_list(F.struct("sf_raw", "lf_raw")).alias("pairs"))
-    both = docs.select("doc_id", "text").join(_small(checkpoint(hits)), "doc_id")
-    there = F.filter("pairs", lambda p: F.contains(F.col("text"), p["lf_raw"]))
-    place = lambda p: F.struct(
-        F.length(p["sf_raw"]).alias("k"), F.length(p["lf_raw"]).alias("m"), occurrences(F.col("text"), p["sf_raw"]).alias("so"), occurrences(F.col("text"), p["lf_raw"]).alias("lo")
-    )
-    rows = both.select("doc_id", F.explode(F.transform(there, place)).alias("p")).select("doc_id", "p.k", "p.m", "p.lo", F.explode("p.so").alias("ss"))
-    near = F.filter("lo", lambda x: F.abs(x - F.col("ss")) <= max_window)
-    rows = rows.select("doc_id", "ss", "k", "m", F.explode(near).alias("ls"))
-    return rows.select("doc_id", "ss", _long(F.col("ss") + F.col("k"), "se"), "ls", _long(F.col("ls") + F.col("m"), "le"))
+def once(c: Column, name: str) -> Column:
+    """A generator of one row with ``c``: what is done with it, as exploding it, does not make it again."""
+    return F.inline(F.array(F.struct(c.alias(name))))
 
 
-#: A side is broadcast up to this many rows, which a count has checked; beyond, it is shuffled.
-BROADCAST_ROWS = 100_000
+#: Characters by which long forms meet texts: the first so many from a form's second word on, the most that it has.
+GRAMS = (12, 4, 1)
+
 
+def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240) -> DataFrame:
+    """doc_id, ss, se, ls, le: lexicon pairs whose raw forms both occur in the text, starts at most ``max_window`` apart. A doc_id has one text.
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    Short forms meet the texts where they are. What moves is the surroundings of words near a short form that may be in a long form: a long
+    form's second word starts where a word of the text starts (a form of one word is looked for at each character), and the
+    characters from there are the key, so that forms with one short form do not all meet.
+    """
+    lead = F.length(F.regexp_extract("lf_raw", "^[A-Za-z0-9]*[^A-Za-z0-9]+", 0))
+    forms = lexicon.filter("sf_raw <> '' AND lf_raw <> ''").select("sf_key", "sf_raw", "lf_raw", F.length("lf_raw").alias("m"), F.when(lead < F.length("lf_raw"), lead).otherwise(0).alias("lead"))
+    forms = forms.withColumn("g", F.coalesce(*[F.when(F.col("m") - F.col("lead") >= g, g) for g in GRAMS]))
+    forms = checkpoint(forms.withColumn("gram", F.expr("substring(lf_raw, lead + 1, g)")).withColumn("inner", F.col("lead") > 0))
+    key = ["sf_key", "sf_raw", "inner", "g"]
+    keys = checkpoint(
+        forms.groupBy(*key).agg(F.array_join(F.collect_set(F.substring("gram", 1, 1)), "").alias("heads"), F.max("lead").alias("most_lead"), F.max("m").alias("most"))
+    )
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
+    if keys.count() <= BROADCAST_ROWS:
+        met = texts.select("doc_id", "text", F.explode(tokens).alias("token")).join(F.broadcast(keys), F.lower("token") == F.col("sf_key"))
+    else:
+        met = texts.select("doc_id", F.explode(tokens).alias("token")).join(keys, F.lower("token") == F.col("sf_key")).drop("token").join(texts, "doc_id")
+    met = met.filter(F.contains("text", F.col("sf_raw")))
+    # from a form's length before the window, so that a form that overlaps itself shows
+    first = lambda ss: F.greatest(ss - max_window - F.col("most"), F.lit(0)).cast("int")
+    cut = lambda ss: F.substring(F.col("text"), first(ss) + 1, (ss + max_window + 2 * F.col("most")).cast("int") - first(ss))
+    places = F.transform(occurrences(F.col("text"), F.col("sf_raw")), lambda ss: F.struct(ss.alias("ss"), first(ss).alias("base"), cut(ss).alias("cut")))
+    kept = ["doc_id", *key, "heads", "most_lead", "most"]
+    near = met.select(*kept, once(places, "p")).select(*kept, F.explode("p").alias("p")).select(*kept, "p.*")
+    # second words begin with a letter or digit
+    pieces = F.split(F.col("cut"), F.concat(F.lit("(?<![A-Za-z0-9])(?=["), "heads", F.lit("])")), -1)
+    at = F.when(F.col("inner"), starts(F.transform(pieces, F.length))).otherwise(F.sequence(F.lit(0), F.length("cut") - 1).cast("array<bigint>"))
+    begin = lambda x: F.greatest(x - F.col("most_lead") - F.col("most"), F.lit(0)).cast("int")
+    around = lambda x: F.substring(F.col("cut"), begin(x) + 1, (x + F.col("most")).cast("int") - begin(x))
+    fits = lambda x: F.contains(F.col("heads"), F.substring(F.col("cut"), x.cast("int") + 1, F.lit(1)))
+    words = F.transform(F.filter(at, fits), lambda x: F.struct((F.col("base") + x).alias("word"), (x - begin(x)).cast("int").alias("at"), around(x).alias("around")))
+    words = near.select("doc_id", *key, "ss", once(words, "w")).select("doc_id", *key, "ss", F.explode("w").alias("w")).select("doc_id", *key, "ss", "w.*").withColumn("gram", F.expr("substring(around, at + 1, g)"))
+    rows = words.join(forms, [*key, "gram"]).withColumn("s", F.col("at") - F.col("lead")).withColumn("ls", (F.col("word") - F.col("lead")).cast("long"))
+    rows = rows.filter((F.col("s") >= 0) & (F.abs(F.col("ls") - F.col("ss")) <= max_window) & (F.expr("substring(around, s + 1, m)") == F.col("lf_raw")))
+    # the first one among those that overlap it is counted; otherwise the occurrences from the start of the text decide
+    sure = F.call_function("locate", F.col("lf_raw"), F.col("around"), F.greatest(F.col("s") - F.col("m") + 2, F.lit(1))) == F.col("s") + 1
+    rows = rows.select("doc_id", "ss", _long(F.col("ss") + F.length("sf_raw"), "se"), "ls", _long(F.col("ls") + F.col("m"), "le"), F.when(~sure, F.col("lf_raw")).alias("again"))
+    rows = checkpoint(rows)
+    out, again = rows.filter("again IS NULL").select(*SPANS), rows.filter("again IS NOT NULL")
+    asked = checkpoint(again.select("doc_id", "again").distinct())
+    if not (n := asked.count()):
+        return out
+    counted = texts.join(F.broadcast(asked) if n <= BROADCAST_ROWS else asked, "doc_id").select("doc_id", "again", once(occurrences(F.col("text"), F.col("again")), "at"))
+    return out.unionByName(again.join(counted.select("doc_id", "again", F.explode("at").alias("ls")), ["doc_id", "again", "ls"]).select(*SPANS))
+
+
+#: Short rows are broadcast up to this many, which a count has checked; beyond, they are shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def candidate_pipeline(generators: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from glossa.operators import extract
 from glossa.operators.evaluate import exact_pair, exact_span, prf
 from glossa.operators.extract import lexical_resource, nested_parenthetical, parenthetical, reverse_order, schwartz_hearst, table_rows
 
@@ -116,3 +117,29 @@ def test_lexicon_pairs_must_be_near(spark):
     lex = spark.createDataFrame([("AB", "alpha beta", "ab", "alpha beta", 3)], "sf_raw string, lf_raw string, sf_key string, lf_key string, n long")
     text = "AB is alpha beta" + " x" * 200 + " AB"
     assert spans(lexical_resource(frame(spark, [text, "alpha beta"]), lex)) == [(0, 0, 2, 6, 16)]
+
+
+def test_lexicon_broadcasts_nothing_per_document(spark, monkeypatch):
+    """What is broadcast is bounded by the lexicon's short forms, however many texts have hits."""
+    sent = []
+    monkeypatch.setattr(extract.F, "broadcast", lambda df, real=extract.F.broadcast: sent.append(df.count()) or real(df))
+    lex = spark.createDataFrame([("ab", "AB", "alpha beta"), ("ab", "AB", "a big one")], "sf_key string, sf_raw string, lf_raw string")
+    assert len(spans(lexical_resource(frame(spark, ["AB is alpha beta"] * 40), lex))) == 40
+    assert max(sent) <= 2
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_lexicon_against_brute_force(spark, monkeypatch, most):
+    """Forms that overlap themselves, of one word, of odd characters, in and out of the window, tokens in two cases; keys broadcast and shuffled."""
+    monkeypatch.setattr(extract, "BROADCAST_ROWS", most)
+    lex = [("ab", "AB", "no no no"), ("ab", "AB", "a"), ("ab", "Ab", "]x"), ("ab", "AB", "bé b]"), ("ab", "AB", "no  "), ("no", "no", "AB no"), ("ab", "AB", "😀 no"), ("ab", "AB", "o no no no no no b"), ("ab", "", "no"), ("ab", "AB", "")]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["no ", "AB ", "ab ", "Ab-", "a", "]x", "bé b] ", "😀 ", "no  ", "\n", "zzzz "]) for _ in range(rng.choice([3, 30, 200]))) for _ in range(60)]
+    texts += ["", "AB " + "no " * 200, "no " * 90 + "AB", "AB " + "z" * 236 + " no no no", "AB " + "z" * 237 + " no no no"]
+    at = lambda text, x: [m.start() for m in re.finditer(re.escape(x), text)] if x else []
+    want = [
+        (i, ss, ss + len(sf), ls, ls + len(lf))
+        for i, text in enumerate(texts) for token in set(re.findall("[A-Za-z][A-Za-z0-9-]{1,29}", text)) for key, sf, lf in lex if key == token.lower()
+        for ss in at(text, sf) for ls in at(text, lf) if abs(ls - ss) <= 240
+    ]
+    assert spans(lexical_resource(frame(spark, texts), spark.createDataFrame(lex, "sf_key string, sf_raw string, lf_raw string"))) == sorted(want)
