@@ -163,9 +163,9 @@ def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240)
     forms = lexicon.filter("sf_raw <> '' AND lf_raw <> ''").select("sf_key", "sf_raw", "lf_raw", F.length("lf_raw").alias("m"), F.when(lead < F.length("lf_raw"), lead).otherwise(0).alias("lead"))
     forms = forms.withColumn("g", F.coalesce(*[F.when(F.col("m") - F.col("lead") >= g, g) for g in GRAMS]))
     forms = checkpoint(forms.withColumn("gram", F.expr("substring(lf_raw, lead + 1, g)")).withColumn("inner", F.col("lead") > 0))
-    key = ["sf_key", "sf_raw", "inner", "g"]
+    key = ["sf_key", "sf_raw", "inner"]
     keys = checkpoint(
-        forms.groupBy(*key).agg(F.array_join(F.collect_set(F.substring("gram", 1, 1)), "").alias("heads"), F.max("lead").alias("most_lead"), F.max("m").alias("most"))
+        forms.groupBy(*key).agg(F.array_join(F.collect_set(F.substring("gram", 1, 1)), "").alias("heads"), F.max("lead").alias("most_lead"), F.max("m").alias("most"), F.collect_set("g").alias("gs"))
     )
     tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]{1,29}"), F.lit(0)))
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
@@ -178,7 +178,7 @@ def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240)
     first = lambda ss: F.greatest(ss - max_window - F.col("most"), F.lit(0)).cast("int")
     cut = lambda ss: F.substring(F.col("text"), first(ss) + 1, (ss + max_window + 2 * F.col("most")).cast("int") - first(ss))
     places = F.transform(occurrences(F.col("text"), F.col("sf_raw")), lambda ss: F.struct(ss.alias("ss"), first(ss).alias("base"), cut(ss).alias("cut")))
-    kept = ["doc_id", *key, "heads", "most_lead", "most"]
+    kept = ["doc_id", *key, "heads", "most_lead", "most", "gs"]
     near = met.select(*kept, once(places, "p")).select(*kept, F.explode("p").alias("p")).select(*kept, "p.*")
     # second words begin with a letter or digit
     pieces = F.split(F.col("cut"), F.concat(F.lit("(?<![A-Za-z0-9])(?=["), "heads", F.lit("])")), -1)
@@ -187,8 +187,8 @@ def lexical_resource(docs: DataFrame, lexicon: DataFrame, max_window: int = 240)
     around = lambda x: F.substring(F.col("cut"), begin(x) + 1, (x + F.col("most")).cast("int") - begin(x))
     fits = lambda x: F.contains(F.col("heads"), F.substring(F.col("cut"), x.cast("int") + 1, F.lit(1)))
     words = F.transform(F.filter(at, fits), lambda x: F.struct((F.col("base") + x).alias("word"), (x - begin(x)).cast("int").alias("at"), around(x).alias("around")))
-    words = near.select("doc_id", *key, "ss", once(words, "w")).select("doc_id", *key, "ss", F.explode("w").alias("w")).select("doc_id", *key, "ss", "w.*").withColumn("gram", F.expr("substring(around, at + 1, g)"))
-    rows = words.join(forms, [*key, "gram"]).withColumn("s", F.col("at") - F.col("lead")).withColumn("ls", (F.col("word") - F.col("lead")).cast("long"))
+    words = near.select("doc_id", *key, "ss", "gs", once(words, "w")).select("doc_id", *key, "ss", "gs", F.explode("w").alias("w")).select("doc_id", *key, "ss", "w.*", F.explode("gs").alias("g"))
+    rows = words.withColumn("gram", F.expr("substring(around, at + 1, g)")).filter("length(gram) = g").join(forms, [*key, "g", "gram"]).withColumn("s", F.col("at") - F.col("lead")).withColumn("ls", (F.col("word") - F.col("lead")).cast("long"))
     rows = rows.filter((F.col("s") >= 0) & (F.abs(F.col("ls") - F.col("ss")) <= max_window) & (F.expr("substring(around, s + 1, m)") == F.col("lf_raw")))
     # the first one among those that overlap it is counted; otherwise the occurrences from the start of the text decide
     sure = F.call_function("locate", F.col("lf_raw"), F.col("around"), F.greatest(F.col("s") - F.col("m") + 2, F.lit(1))) == F.col("s") + 1

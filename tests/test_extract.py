@@ -10,6 +10,7 @@ import pytest
 from glossa.operators import extract
 from glossa.operators.evaluate import exact_pair, exact_span, prf
 from glossa.operators.extract import lexical_resource, nested_parenthetical, parenthetical, reverse_order, schwartz_hearst, table_rows
+from glossa.plans.q_extract import QUERIES
 
 WORD = re.compile(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*")
 SF = re.compile(r"[A-Za-z][A-Za-z0-9-]*\Z")
@@ -143,3 +144,13 @@ def test_lexicon_against_brute_force(spark, monkeypatch, most):
         for ss in at(text, sf) for ls in at(text, lf) if abs(ls - ss) <= 240
     ]
     assert spans(lexical_resource(frame(spark, texts), spark.createDataFrame(lex, "sf_key string, sf_raw string, lf_raw string"))) == sorted(want)
+
+
+def test_candidates_broadcast_nothing_per_document(spark, monkeypatch, tmp_path):
+    """cand_dedup over texts that all have one short form sends that form, and not a row per text."""
+    sent = []
+    monkeypatch.setattr(extract.F, "broadcast", lambda df, real=extract.F.broadcast: sent.append(df.count()) or real(df))
+    text = " ".join(f"word{chr(97 + i)}" for i in range(14))
+    spark.createDataFrame([(8 * i, text, "web", "en") for i in range(40)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["cand_dedup"](spark, str(tmp_path)).groupBy("generator").count().collect()
+    assert {r.generator: r["count"] for r in found}["parenthetical"] == 320 and sent and max(sent) <= 2
