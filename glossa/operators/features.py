@@ -113,21 +113,35 @@ def parenthetical_metadata(labels: tuple[str, ...] = ("parenthetical", "nested",
 def lexicon_evidence(rows: DataFrame, lexicon: DataFrame, context: int = 80) -> DataFrame:
     """Per candidate: variants, sources, agreement, long_forms, total, exact_pair, short_nearby; lexicon has a ``source_label``.
 
-    Candidates meet a small lexicon where they are, and only numbers and the few labels of a form's variants are gathered, not the context.
+    A candidate meets one row with the numbers of its short form, not each variant, and then with its long text at most one row of that form's
+    long forms. Only numbers are gathered, not the context.
     """
     key = ["doc_id", "ss", "se", "ls", "le"]
+    kept = checkpoint(lexicon.filter("sf_key IS NOT NULL").select("sf_key", "sf_raw", "lf_raw", "lf_key", "n", "source_label"))
+    raws = kept.filter("lf_raw IS NOT NULL AND sf_raw IS NOT NULL").groupBy("sf_key", "sf_raw").agg(F.count(F.lit(1)).alias("k"))
+    forms = kept.groupBy("sf_key").agg(F.count("lf_raw").alias("variants"), F.count_distinct("source_label").alias("sources"), F.count_distinct("lf_key").alias("long_forms"), F.sum("n").alias("total"))
+    forms = checkpoint(forms.join(raws.groupBy("sf_key").agg(F.collect_list(F.struct("sf_raw", "k")).alias("raws")), "sf_key", "left"))
+    # long forms by their lower case: whether it is a key, and the raw forms that have it
+    low = kept.filter("lf_raw IS NOT NULL").select("sf_key", F.explode(F.array(F.struct(F.col("lf_key").alias("low"), F.lit(None).cast("string").alias("raw")), F.struct(F.lower("lf_raw").alias("low"), F.col("lf_raw").alias("raw")))).alias("f"))
+    low = low.select("sf_key", "f.*").filter("low IS NOT NULL").groupBy("sf_key", "low").agg(F.max(F.col("raw").isNull()).alias("keyed"), F.collect_set("raw").alias("exact"))
+
     near = text_at(F.col("text"), F.greatest(F.col("ls") - context, F.lit(0)), F.col("le") + context)
-    r = rows.select(*key, "short", "long", near.alias("near")).withColumn("sf_key", F.lower("short"))
-    kept = checkpoint(lexicon.select("sf_key", "sf_raw", "lf_raw", "lf_key", "n", "source_label"))
-    j = r.join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "sf_key", "left")
-    hit = F.col("lf_raw").isNotNull()
-    pair = hit & ((F.col("long") == F.col("lf_raw")) | (F.lower("long") == F.col("lf_key")))
-    n = F.when(hit, F.size(occurrences(F.col("near"), F.col("sf_raw")))).otherwise(0)
-    out = j.groupBy(*key).agg(
-        F.count("lf_raw").alias("variants"), F.size(F.collect_set("source_label")).cast("long").alias("sources"), F.size(F.collect_set("lf_key")).cast("long").alias("long_forms"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max(flag(pair)).alias("exact_pair"), F.sum(n).alias("short_nearby"),
-    )
-    return out.withColumn("agreement", flag(F.col("sources") > 1))
+    r = rows.select(*key, "long", near.alias("near"), F.lower("short").alias("sf_key")).join(F.broadcast(forms) if forms.count() <= BROADCAST_ROWS else forms, "sf_key", "left")
+    around = F.aggregate("raws", F.lit(0).cast("long"), lambda a, x: (a + F.size(occurrences(F.col("near"), x["sf_raw"])) * x["k"]).cast("long"))
+    r = r.select(*key, "sf_key", "long", F.lower("long").alias("low"), "variants", "sources", "long_forms", "total", around.alias("around")).join(low, ["sf_key", "low"], "left")
+    pair, of = F.col("keyed") | F.array_contains("exact", F.col("long")), F.xxhash64("sf_key")
+    sums = checkpoint(r.groupBy(*key).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("variants", "total")], *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("sources", "long_forms")],
+        F.max(flag(F.coalesce(pair, F.lit(False)))).alias("exact_pair"), F.coalesce(F.sum("around"), F.lit(0)).alias("short_nearby"), (F.min(of) != F.max(of)).alias("several"),
+    ))
+    # a doc_id with several texts may give a span several short forms, whose sources and long forms are counted together
+    several = sums.filter("several").select(*key)
+    if not several.isEmpty():
+        both = rows.select(*key, F.lower("short").alias("sf_key")).join(several, key, "left_semi").distinct().join(kept, "sf_key", "left")
+        both = both.groupBy(*key).agg(F.count_distinct("source_label").alias("sources"), F.count_distinct("lf_key").alias("long_forms"))
+        sums = sums.filter("NOT several").unionByName(sums.filter("several").drop("sources", "long_forms").join(both, key))
+    names = ("variants", "sources", "long_forms", "total", "exact_pair", "short_nearby")
+    return sums.select(*key, *names, flag(F.col("sources") > 1).alias("agreement"))
 
 
 def feature_set(rows: DataFrame, extractors: list[dict[str, Column]], keep: list[str]) -> DataFrame:
