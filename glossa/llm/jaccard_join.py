@@ -39,15 +39,35 @@ NUMERATOR, DENOMINATOR = 80, 100
 REGION, LEAF = 1500, 32
 #: Pivots of a round, 8 at most (their links are one byte), and the share of a region that its largest cell must stay below.
 CELLS, PARTED = 8, 0.8
-#: Text bytes per batch.
-SLICE = 4 << 20
+#: Text bytes per batch, and those whose words are in arrays at a time.
+SLICE, PIECE = 4 << 20, 1 << 20
 #: Ids that may be broadcast (8 bytes each), as a count has checked; more are shuffled.
 BROADCAST_IDS = 500_000
 MOST_DF = 255
+#: Shingles mixed at a time.
+RUN = 1 << 17
 
 
 def shingles(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (shingle hash, document index), ascending by hash, then document."""
+    """Distinct (shingle hash, document index), ascending by hash, then document.
+
+    Found piece by piece and merged, so that the arrays of words, many times the texts, are those of a piece.
+    """
+    found, first = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for piece in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], most=PIECE):
+        value, own = _shingles(piece.column("text"), n_words)
+        found.append((value, own + first))
+        first += piece.num_rows
+    if len(found) == 2:
+        return found[1]
+    value, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    order = np.argsort(value, kind="stable")  # documents ascend from piece to piece
+    own = own[order]
+    return value[order], own
+
+
+def _shingles(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     index, offsets, unique = words(texts)
     h = hash_strings(unique)[index] if len(unique) else np.zeros(0, np.uint64)
     weights = mix64(np.arange(1, n_words + 1, dtype=np.uint64)) | np.uint64(1)
@@ -70,13 +90,15 @@ def shingles(texts: pa.Array, n_words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _set_hashes(value: np.ndarray, own: np.ndarray, n: int) -> list[np.ndarray]:
-    """Two order-free 64-bit hashes of each document's set: sums of two mixes of its members."""
+    """Two order-free 64-bit hashes of each document's set: sums of two mixes of its members, added up a run of members at a time."""
     out = []
     for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        mixed, total = mix64(value ^ np.uint64(salt)), np.zeros(n, np.uint64)
-        for shift in (0, 16, 32, 48):
-            part = ((mixed >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(float)
-            total += np.bincount(own, part, minlength=n).astype(np.uint64) << np.uint64(shift)
+        total = np.zeros(n, np.uint64)
+        for a in range(0, len(value), RUN):
+            mixed, members = mix64(value[a : a + RUN] ^ np.uint64(salt)), own[a : a + RUN]
+            for shift in (0, 16, 32, 48):
+                part = ((mixed >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(float)
+                total += np.bincount(members, part, minlength=n).astype(np.uint64) << np.uint64(shift)
         out.append(total)
     return out
 
@@ -87,23 +109,26 @@ _ASKED = ["batch", "meta", "hashes", "counts", "owners"]
 def _sent(n_parts: int, n_words: int):
     """Batches of documents -> different shingles by owner of their hash range, and one row with the documents themselves."""
 
+    def rows_of(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        value, own = shingles(filled(batch.column("text")), n_words)
+        n = batch.num_rows
+        s1, s2 = _set_hashes(value, own, n)
+        ids = batch.column("doc_id").cast(pa.int64())
+        doc = [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)]
+        keys = [batch.column("key").to_numpy().view(np.uint64)] if "key" in batch.schema.names else []
+        about = [*doc, np.bincount(own, minlength=n).astype(np.uint64), s1, s2, *keys]
+        cuts = parts(value, n_parts)
+        rows = [(number % n_parts, b"".join(a.astype("<u8").tobytes() for a in about), None, None, None)]
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            different, count = np.unique(value[cuts[p] : cuts[p + 1]], return_counts=True)
+            rows.append((p, None, pack_sorted(different), pack(count), pack(own[cuts[p] : cuts[p + 1]])))
+        part, *blobs = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([number] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["p", *_ASKED])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for serial, batch in enumerate(slices(batches, most=SLICE)):
-            value, own = shingles(filled(batch.column("text")), n_words)
-            n = batch.num_rows
-            s1, s2 = _set_hashes(value, own, n)
-            ids = batch.column("doc_id").cast(pa.int64())
-            doc = [ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint64), ids.fill_null(0).to_numpy().view(np.uint64)]
-            keys = [batch.column("key").to_numpy().view(np.uint64)] if "key" in batch.schema.names else []
-            about = [*doc, np.bincount(own, minlength=n).astype(np.uint64), s1, s2, *keys]
-            cuts = parts(value, n_parts)
-            rows = [((base + serial) % n_parts, b"".join(a.astype("<u8").tobytes() for a in about), None, None, None)]
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                different, count = np.unique(value[cuts[p] : cuts[p + 1]], return_counts=True)
-                rows.append((p, None, pack_sorted(different), pack(count), pack(own[cuts[p] : cuts[p + 1]])))
-            part, *blobs = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([base + serial] * len(rows), pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)], names=["p", *_ASKED])
+            yield rows_of(batch, base + serial)  # nothing of a batch is held while the next is worked on
 
     return run
 
@@ -124,17 +149,19 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if meta is not None:
                 yield record([(b, meta, None, None, None, None)])
             else:
-                ids.append(b), values.append(unpack_sorted(h)), counts.append(unpack(c)), owners.append(o)
+                ids.append(b), values.append(unpack_sorted(h)), counts.append(unpack(c).astype(np.uint32)), owners.append(o)
     if not values:
         return
     every = np.concatenate(values)
+    values = np.split(every, np.cumsum([len(v) for v in values])[:-1])  # not held twice
     order = np.argsort(every, kind="stable")
-    new = np.ones(len(every), bool)
-    new[1:] = np.diff(every[order]) != 0
+    new, ordered = np.ones(len(every), bool), every[order]
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
     starts = np.flatnonzero(new)
-    total = np.add.reduceat(np.concatenate(counts)[order], starts)
+    total = np.add.reduceat(np.minimum(np.concatenate(counts), MOST_DF)[order], starts, dtype=np.uint64)
     df = np.empty(len(every), np.uint8)
-    df[order] = np.repeat(np.minimum(total, MOST_DF), np.diff(np.append(starts, len(every))))
+    df[order] = np.repeat(np.minimum(total, MOST_DF).astype(np.uint8), np.diff(np.append(starts, len(every))))
     at = 0
     for b, v, c, o in zip(ids, values, counts, owners, strict=True):
         mine = df[at : at + len(v)]

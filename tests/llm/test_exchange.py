@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -278,3 +279,32 @@ def test_cells_part_a_dense_region(spark, monkeypatch):
 def test_stages_on_an_empty_table(none):
     out = drop_similar(none)
     assert out.columns == none.columns and out.collect() == []
+
+
+def test_shingles_of_pieces(monkeypatch, odd_rows):
+    texts = pa.array([r[1] or "" for r in odd_rows])
+    whole = jj.shingles(texts, 5)
+    monkeypatch.setattr(jj, "PIECE", 300)
+    for x, y in zip(whole, jj.shingles(texts, 5), strict=True):
+        assert x.dtype == y.dtype and x.tolist() == y.tolist()
+    assert [len(x) for x in jj.shingles(texts[:0], 5)] == [0, 0]
+    monkeypatch.setattr(jj, "RUN", 7)
+    n = len(texts)
+    parted = jj._set_hashes(*whole, n)
+    monkeypatch.undo()
+    assert all((x == y).all() for x, y in zip(parted, jj._set_hashes(*whole, n), strict=True))
+
+
+def test_memory_of_a_batch():
+    """A batch of 4 MB takes less than 10 times its text in arrays."""
+    texts = pa.array([prose(i, 330) for i in range(2200)])
+    size = sum(len(t) for t in texts.to_pylist())
+    assert 3.7e6 < size < jj.SLICE
+    tracemalloc.start()
+    try:
+        value, own = jj.shingles(texts, 5)
+        jj._set_hashes(value, own, len(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 10 * size, peak / size

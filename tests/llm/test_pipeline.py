@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib.util
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_exchange import brute_components, tokens
 from tests.llm.test_learned import check_packing
 
@@ -57,3 +59,29 @@ def test_stages_on_empty_and_odd_tables(spark, request, tmp_path, table):
         docs = spark.read.parquet(str(tmp_path / name))
         assert name == "packing" or docs.columns == columns
         assert (docs.count() == 0) == (n == 0)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Wide rows: an Arrow batch ends by its bytes, not after 10 000 rows; ``run`` leaves the session as it was, and a smaller bound stands."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        cp.run(spark, SF)
+        assert spark.conf.get(key, None) == before
+        for stage in (cp.toxicity, cp.jaccard_join, cp.packing):
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < cp.BATCH_BYTES + 50_000
+            spark.conf.unset(key)
+        spark.conf.set(key, "1m")
+        cp.bound_batches(spark)
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < (1 << 20) + 50_000
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
